@@ -52,7 +52,7 @@ def audit_stats(log: DataFrame, top_actions: int = 10) -> DataFrame:
 
 def derive_audit_action(method: Column, path: Column) -> Column:
     """``resource.verb`` for an HTTP method and path."""
-    segments = F.filter(F.split(F.trim(F.lit("/"), path), "/"), lambda s: (s != "") & (s != "api"))
+    segments = F.filter(F.split(F.trim(path, F.lit("/")), "/"), lambda s: (s != "") & (s != "api"))
     resource = F.try_element_at(segments, F.lit(1))
     second = F.try_element_at(segments, F.lit(2))
     verb = F.lower(method)

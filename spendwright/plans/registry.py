@@ -42,10 +42,11 @@ def _shape(name: str, kind: str) -> Column:
 
 
 def _shape_sql(name: str, kind: str) -> str:
+    q = f'"{name}"'
     if kind.isdigit():
-        return f"round(CAST({name} AS DOUBLE) + CAST({_NUDGE!r} AS DOUBLE), {kind}) + CAST(0 AS DOUBLE) AS {name}"
+        return f"round(CAST({q} AS DOUBLE) + CAST({_NUDGE!r} AS DOUBLE), {kind}) + CAST(0 AS DOUBLE) AS {q}"
     types = {"i": "BIGINT", "s": "VARCHAR", "d": "DATE", "b": "BOOLEAN"}
-    return f"CAST({name} AS {types[kind]}) AS {name}" if kind else name
+    return f"CAST({q} AS {types[kind]}) AS {q}" if kind else q
 
 
 def query(name: str, columns: str, views: str = "", sql: str | None = None):
