@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("cost_queries", "experiment_queries", "monitoring_queries", "quality_queries", "causal_queries")
+_MODULES = ("cost_queries", "experiment_queries", "monitoring_queries", "quality_queries", "causal_queries", "streaming_queries")
 
 
 def load_queries():
