@@ -72,6 +72,10 @@ def bootstrap_sums(
         .agg(*[F.sum(n).alias(n) for n in names])
         .withColumn("_block", F.xxhash64(*by, "_block"))
     )
+    # Few bytes but many draws: spread the blocks, which size-based coalescing
+    # would put into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = blocked.repartition(tasks, "_block")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

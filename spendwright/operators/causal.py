@@ -18,6 +18,7 @@ from spendwright.functions.hashing import standard_normal, unit_interval
 from spendwright.functions.tails import normal_two_sided_udf
 from spendwright.operators.bootstrap import bootstrap_sums, percentile_interval
 from spendwright.operators.ordering import permute_column
+from spendwright.sources.session import sized
 
 # Ship these helpers inside the task, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -71,7 +72,7 @@ def _design(df: DataFrame, treatment: str, outcome: str, regressors: Sequence[st
         *[F.stddev_pop(n).alias(f"_s{i}") for i, n in enumerate(regressors)],
     )
     if by:
-        wide = df.join(stats, list(by))
+        wide = df.join(sized(stats, "design"), list(by))
     else:
         wide = df.withColumn("_t", stats.select(F.struct("*").alias("t")).scalar()).select("*", "_t.*")
     scaled = []

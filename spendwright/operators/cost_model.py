@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendwright.functions.grids import digits_of, explode_values, linspace, ratio
+from spendwright.sources.session import sized
 
 ELEMENTS = ("raw_material", "labor", "overhead", "logistics", "tariff")
 
@@ -51,7 +52,7 @@ def should_cost_decompose(
     if plant_id is not None:
         products = products.withColumn("plant_id", F.lit(plant_id))
     rates = plants.select("plant_id", "labor_rate_hourly", "overhead_rate")
-    index = commodity_latest(prices).withColumnRenamed("commodity", "commodity_exposure")
+    index = sized(commodity_latest(prices), "commodities").withColumnRenamed("commodity", "commodity_exposure")
     costed = products.join(rates, "plant_id", "left").join(index, "commodity_exposure", "left")
 
     base, sens = F.col("base_unit_cost"), F.col("commodity_sensitivity")
@@ -140,6 +141,12 @@ def quality_score(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg((1.0 - F.avg("defect_rate")).alias("quality_score"))
 
 
+def _rolled_quality(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The quality score per key from summed cells."""
+    sums = cells.groupBy(*keys).agg(F.sum("_d").alias("_d"), F.sum("_n").alias("_n"))
+    return sums.select(*keys, (1.0 - F.try_divide("_d", "_n")).alias(name))
+
+
 def make_vs_buy(
     pairs: DataFrame,
     products: DataFrame,
@@ -154,25 +161,32 @@ def make_vs_buy(
     Pairs with an unknown SKU or plant have no result.
     """
     w = dict(weights or DEFAULT_WEIGHTS)
+    # Everything that depends on the SKU alone is settled per SKU first, so
+    # pairs are joined twice only: with their SKU and with their plant quality.
+    per_sku = products.select("sku_id", "base_unit_cost", "labor_intensity").join(
+        best_supplier_quote(quotes), "sku_id", "left"
+    )
+    if events is None:
+        per_sku = per_sku.select("*", *[F.lit(DEFAULT_QUALITY).alias(c) for c in ("_q_supplier", "_q_sku")])
+    else:
+        # One pass over the events; the three scores are rolled up from it.
+        cells = events.groupBy("sku_id", "plant_id", "supplier_id").agg(
+            F.sum("defect_rate").alias("_d"), F.count("defect_rate").alias("_n")
+        )
+        by_supplier = _rolled_quality(cells, ["sku_id", "supplier_id"], "_q_supplier")
+        by_supplier = by_supplier.withColumnRenamed("supplier_id", "best_supplier")
+        per_sku = per_sku.join(_rolled_quality(cells, ["sku_id"], "_q_sku"), "sku_id", "left").join(
+            by_supplier, ["sku_id", "best_supplier"], "left"
+        )
     known = (
         pairs.select("sku_id", "plant_id")
-        .join(products.select("sku_id", "base_unit_cost", "labor_intensity"), "sku_id")
+        .join(per_sku, "sku_id")
         .join(plants.select("plant_id", "labor_rate_hourly", "overhead_rate"), "plant_id")
-        .join(best_supplier_quote(quotes), "sku_id", "left")
     )
     if events is None:
-        known = known.select("*", *[F.lit(DEFAULT_QUALITY).alias(c) for c in ("_q_plant", "_q_supplier", "_q_sku")])
+        known = known.withColumn("_q_plant", F.lit(DEFAULT_QUALITY))
     else:
-        by_plant = quality_score(events, ["sku_id", "plant_id"]).withColumnRenamed("quality_score", "_q_plant")
-        by_supplier = quality_score(events, ["sku_id", "supplier_id"]).select(
-            "sku_id", F.col("supplier_id").alias("best_supplier"), F.col("quality_score").alias("_q_supplier")
-        )
-        by_sku = quality_score(events, ["sku_id"]).withColumnRenamed("quality_score", "_q_sku")
-        known = (
-            known.join(by_plant, ["sku_id", "plant_id"], "left")
-            .join(by_supplier, ["sku_id", "best_supplier"], "left")
-            .join(by_sku, "sku_id", "left")
-        )
+        known = known.join(_rolled_quality(cells, ["sku_id", "plant_id"], "_q_plant"), ["sku_id", "plant_id"], "left")
 
     base, labor_int = F.col("base_unit_cost"), F.col("labor_intensity")
     quoted = F.col("quoted_price").isNotNull()

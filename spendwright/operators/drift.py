@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from spendwright.functions.grids import digits_of, explode_values
 from spendwright.functions.tails import kolmogorov_sf_udf
 from spendwright.operators.ordering import Ordered
+from spendwright.sources.session import sized
 
 # Drift thresholds.
 KS_ALERT = 0.05
@@ -114,7 +115,7 @@ def population_stability(
     spanned = F.col("value") if joint else F.when(F.col("_cur") == 0, F.col("value"))
     # One row per feature (and group): the bin borders.
     bounds = rows.groupBy(*keys).agg(F.min(spanned).alias("_lo"), F.max(spanned).alias("_hi"))
-    placed = rows.join(bounds, keys)
+    placed = rows.join(sized(bounds, "psi-bounds"), keys)
     value, lo, hi = F.col("value"), F.col("_lo"), F.col("_hi")
     step = (hi - lo) / n_bins
     index = reduce(lambda a, i: a + F.when(value >= lo + step * i, 1).otherwise(0), range(1, n_bins), F.lit(0))
@@ -199,6 +200,7 @@ def concept_drift(
         F.max(F.when(F.col("mape") <= threshold, F.col(ts))).alias("_ok"), F.count(F.lit(1)).alias("history_length")
     )
     # One row per model on the right; rows before the run are dropped early.
+    last_ok = sized(last_ok, "last-ok")
     run = history.join(last_ok.select(model, "_ok"), model).where(F.col("_ok").isNull() | (F.col(ts) > F.col("_ok")))
     run = run.groupBy(model).agg(F.count(F.lit(1)).alias("_run"))
     # The row-number limit is applied before the shuffle (window group limit).

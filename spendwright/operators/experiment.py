@@ -12,6 +12,7 @@ from spendwright.functions.grids import explode_values
 from spendwright.functions.hashing import sha256_bucket
 from spendwright.functions.tails import chi2_sf_udf
 from spendwright.operators.bootstrap import bootstrap_sums, percentile_interval
+from spendwright.sources.session import sized
 
 VARIANCE_FLOOR = 1e-12
 DEFAULT_RHO = 0.74
@@ -145,7 +146,7 @@ def cuped_fit(df: DataFrame, pre: str, post: str, by: Sequence[str] = ()) -> Dat
 def cuped_transform(df: DataFrame, fit: DataFrame, pre: str, post: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``adjusted``: the outcome without its covariate part."""
     if by:
-        joined = df.join(fit.select(*by, "theta", "mean_pre"), list(by))
+        joined = df.join(sized(fit.select(*by, "theta", "mean_pre"), "cuped-fit"), list(by))
     else:
         row = fit.select(F.struct("theta", "mean_pre").alias("f")).scalar()
         joined = df.withColumn("_f", row).select("*", "_f.*").drop("_f")
@@ -183,18 +184,19 @@ def cuped_bootstrap_ci(
     """Bootstrap interval of the variance reduction, refitted per replicate."""
     means = df.groupBy(*by).agg(F.avg(pre).alias("_mx"), F.avg(post).alias("_my"))
     if by:
-        centred = df.join(means, list(by))
+        centred = df.join(sized(means, "cuped-means"), list(by))
     else:
         centred = df.withColumn("_m", means.select(F.struct("*").alias("m")).scalar()).select("*", "_m.*")
     x, y = F.col(pre) - F.col("_mx"), F.col(post) - F.col("_my")
     stats = {"w": F.lit(1.0), "wx": x, "wy": y, "wxx": x * x, "wxy": x * y, "wyy": y * y}
     sums = bootstrap_sums(centred, stats, key, by, replicates, seed)
-    sxx = F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w")
-    sxy = F.col("wxy") - F.col("wx") * F.col("wy") / F.col("w")
-    syy = F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w")
-    usable = (F.col("w") > 1) & (sxx / (F.col("w") - 1) >= VARIANCE_FLOOR) & (syy / (F.col("w") - 1) > VARIANCE_FLOOR)
+    w = F.col("w")
+    sxx = F.col("wxx") - F.try_divide(F.col("wx") * F.col("wx"), w)
+    sxy = F.col("wxy") - F.try_divide(F.col("wx") * F.col("wy"), w)
+    syy = F.col("wyy") - F.try_divide(F.col("wy") * F.col("wy"), w)
+    usable = (F.try_divide(sxx, w - 1) >= VARIANCE_FLOOR) & (F.try_divide(syy, w - 1) > VARIANCE_FLOOR) & (w > 1)
     # With a refitted coefficient the removed share of variance is r squared.
-    reduction = F.when(usable, sxy * sxy / (sxx * syy)).otherwise(0.0)
+    reduction = F.when(usable, F.try_divide(sxy * sxy, sxx * syy)).otherwise(0.0)
     return percentile_interval(sums, reduction, by, confidence, extra=True)
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendwright.operators import cost_model as M
 from spendwright.operators import cost_tracking as K
 from spendwright.operators import reports as R
 from spendwright.plans.registry import query
-from spendwright.plans.reports import explain_report, report
-from spendwright.sources import catalog
+from spendwright.plans.reports import explain_report, report, run_all_reports
+from spendwright.sources import catalog, files
+from spendwright.sources.session import new_path
 from spendwright.sources.views import BASE_TABLES, VIEWS, Tables
 
 STAR = [v for v in VIEWS if v.startswith(("dim_", "fact_"))]
@@ -70,6 +73,38 @@ def _(t: Tables):
     )
 
 
+@query(
+    "csv_source",
+    "s_suppkey:i s_name s_nationkey:i s_acctbal:2",
+    sql="SELECT * FROM supplier",
+)
+def _(t: Tables):
+    """A table through CSV files and back, read under a fallback name."""
+    folder = new_path(t.spark, "csv")
+    suppliers = t["supplier"]
+    files.write_csv(suppliers, f"{folder}/suppliers.csv")
+    return files.read_csv(t.spark, folder, ["dim_supplier", "suppliers"], suppliers.schema)
+
+
+@query(
+    "audit_json",
+    "user action outcome entries:i total_ms:2",
+    "audit_log",
+    """SELECT CAST(user_name AS VARCHAR) AS "user", action, outcome, count(*) AS entries, sum(duration_ms) AS total_ms
+FROM audit_log GROUP BY 1, 2, 3""",
+)
+def _(t: Tables):
+    """Audit records appended as JSON lines in two runs and read back."""
+    path = new_path(t.spark, "audit-json")
+    log = t["audit_log"].withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    log = log.withColumn("user", F.col("user_name").cast("string")).drop("user_name")
+    files.append_audit(log.where("outcome = 'success'"), path)
+    files.append_audit(log.where("outcome <> 'success'"), path)
+    return files.read_audit(t.spark, path).groupBy("user", "action", "outcome").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("duration_ms").alias("total_ms")
+    )
+
+
 # ---------------------------------------------------------------- reports
 
 _VARIANCE_SQL = """
@@ -150,6 +185,44 @@ def _(t: Tables):
     return R.cost_anomaly(t["fact_purchase_orders"], date="order_date", value="unit_price", volume="quantity")
 
 
+_REPORT_ROWS = " UNION ALL ".join(
+    f"SELECT '{name}' AS report, count(*) AS row_count FROM {source}"
+    for name, source in (("cost_variance", "r1"), ("should_cost_gap", "r2"), ("supplier_performance", "r3"))
+)
+
+
+@query(
+    "run_all_reports",
+    "report status row_count:i",
+    "dim_plant dim_product dim_supplier fact_cost_transactions fact_purchase_orders",
+    f"""WITH r1 AS (SELECT DISTINCT date_trunc('month', transaction_date) AS m, f.plant_id, category
+  FROM fact_cost_transactions f JOIN dim_plant l ON f.plant_id = l.plant_id JOIN dim_product p ON f.sku_id = p.sku_id),
+r2 AS (SELECT f.sku_id FROM fact_cost_transactions f JOIN dim_product p ON f.sku_id = p.sku_id
+  GROUP BY f.sku_id, target_cost HAVING (avg(total_unit_cost) - target_cost) / target_cost > 0.10),
+r3 AS (SELECT DISTINCT o.supplier_id FROM fact_purchase_orders o JOIN dim_supplier s ON o.supplier_id = s.supplier_id),
+d AS (SELECT transaction_date AS dd, sku_id, avg(total_unit_cost) AS a FROM fact_cost_transactions GROUP BY 1, 2),
+w AS (SELECT a, avg(a) OVER (PARTITION BY sku_id ORDER BY dd ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m FROM d),
+r4 AS (SELECT * FROM w WHERE m > 0 AND round(abs(a - m) / greatest(m * 0.1, 0.01), 6) > 2.5)
+SELECT *, 'ok' AS status FROM ({_REPORT_ROWS} UNION ALL SELECT 'cost_anomaly', count(*) FROM r4)""",
+)
+def _(t: Tables):
+    """Every report written to its own table, then counted."""
+    paths: dict[str, str] = {}
+
+    def sink(name, df):
+        paths[name] = new_path(t.spark, name)
+        df.write.parquet(paths[name])
+
+    status = run_all_reports(t, sink)
+    rows = [
+        t.spark.read.parquet(path)
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        .select(F.lit(name).alias("report"), F.lit(status[name]).alias("status"), "row_count")
+        for name, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("explain_report", "report plan_lines:i rows:i")
 def _(t: Tables):
     rows = []

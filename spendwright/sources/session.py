@@ -52,6 +52,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """A small aggregate that is joined back to the rows it came from.
+
+    Written down first, its true size is known when the join is planned, so
+    Spark broadcasts it exactly when it is below the broadcast threshold and
+    shuffles otherwise. Without that, the planner would assume the size of the
+    rows and shuffle all of them by a key with few values.
+    """
+    return materialise(df, label)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
