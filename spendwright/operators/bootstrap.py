@@ -73,27 +73,33 @@ def bootstrap_sums(
         .withColumn("_block", F.xxhash64(*by, "_block"))
     )
     # Few bytes but many draws: spread the blocks, which size-based coalescing
-    # would put into one task.
+    # would put into one task. A group has at most `blocks` rows, so whole
+    # slices of a group stay together and leave one partial sum each.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocked = blocked.repartition(tasks, "_block")
+    slices = max(1, blocks // 2048) if by else tasks
+    blocked = blocked.repartition(tasks, *by, F.pmod("_block", F.lit(slices)))
+    if by:
+        blocked = blocked.sortWithinPartitions(*by)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            codes = batch.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(batch), int)
             ids = batch["_block"].to_numpy().view(np.uint64)
             values = batch[names].to_numpy(dtype=np.float64, na_value=0.0)
-            for code in np.unique(codes):
-                rows = np.flatnonzero(codes == code)
-                sums = np.zeros((replicates, len(names)))
+            groups = batch.groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(batch))]
+            sums, firsts = [], []
+            for rows in groups:
+                total = np.zeros((replicates, len(names)))
                 for part in np.array_split(rows, max(1, len(rows) // 2048)):
-                    sums += poisson_weights(ids[part], replicates, seed).T @ values[part]
-                out = pd.DataFrame(sums, columns=names)
-                out.insert(0, REPLICATE, np.arange(replicates))
-                for name in reversed(by):
-                    out.insert(0, name, [batch[name].iloc[rows[0]]] * replicates)
-                yield out
+                    total += poisson_weights(ids[part], replicates, seed).T @ values[part]
+                sums.append(total)
+                firsts.append(rows[0])
+            out = {name: batch[name].iloc[firsts].repeat(replicates).to_numpy() for name in by}
+            out[REPLICATE] = np.tile(np.arange(replicates), len(sums))
+            stacked = np.concatenate(sums)
+            out.update({name: stacked[:, i] for i, name in enumerate(names)})
+            yield pd.DataFrame(out)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema] if by else []
     schema = ", ".join([*fields, f"{REPLICATE} int", *[f"`{n}` double" for n in names]])

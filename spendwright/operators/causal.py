@@ -18,7 +18,7 @@ from spendwright.functions.hashing import standard_normal, unit_interval
 from spendwright.functions.tails import normal_two_sided_udf
 from spendwright.operators.bootstrap import bootstrap_sums, percentile_interval
 from spendwright.operators.ordering import permute_column
-from spendwright.sources.session import sized
+from spendwright.sources.session import materialise, sized
 
 # Ship these helpers inside the task, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -191,6 +191,9 @@ def causal_report(
 ) -> DataFrame:
     """Effect, interval and every refutation, one row per refutation."""
     args = (treatment, outcome, confounders)
+    # The needed columns are written once; every step below reads them twice.
+    names = dict.fromkeys([*key, *confounders, *instruments, treatment, outcome])
+    df = materialise(causal_columns_check(df, *args, instruments).select(*names), "causal")
     effect = ate_ols(df, *args, instruments)
     interval = ate_bootstrap_ci(df, *args, key, instruments, replicates=replicates)
     parts = [refute(df, m, *args, key, instruments) for m in methods]

@@ -71,7 +71,7 @@ def ks_statistics(
     totals = ordered.rows.groupBy(*keys).agg(F.sum("r").alias("n_reference"), F.sum("c").alias("n_current"))
     distance = F.max(F.abs(F.col("fr") / F.col("n_reference") - F.col("fc") / F.col("n_current")))
     usable = totals.where((F.col("n_reference") >= 2) & (F.col("n_current") >= 2))
-    joined = sums.join(usable, keys).groupBy(*keys, "n_reference", "n_current").agg(distance.alias("statistic"))
+    joined = sums.join(sized(usable, "ks-totals"), keys).groupBy(*keys, "n_reference", "n_current").agg(distance.alias("statistic"))
     nr, nc = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
     return joined.withColumn("p_value", kolmogorov_sf_udf(F.sqrt(nr * nc / (nr + nc)) * F.col("statistic")))
 

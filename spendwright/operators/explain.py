@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from spendwright.functions.hashing import standard_normal
 from spendwright.operators.ordering import permute_column
+from spendwright.sources.session import materialise
 
 # Ship these helpers inside the task, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,9 +38,9 @@ def permutation_importance(
     ``model`` is any fitted Spark ML model or pipeline that reads ``features``
     and writes ``prediction``; ``key`` identifies a row.
     """
-    base = model.transform(df.select(*dict.fromkeys([*key, *features]))).select(
-        *dict.fromkeys([*key, *features]), F.col("prediction").alias("_base")
-    )
+    names = list(dict.fromkeys([*key, *features]))
+    base = model.transform(df.select(*names)).select(*names, F.col("prediction").alias("_base"))
+    base = materialise(base, "base-predictions")  # read twice per feature
     result: DataFrame | None = None
     for j, name in enumerate(features):
         shuffled = permute_column(base, name, key, seed + j)
@@ -83,6 +84,8 @@ def local_surrogate(
     """
     p = len(features)
     rows = df.select(*key, *[F.col(f).cast("double").alias(f) for f in features if f not in key])
+    # Each row grows by the number of neighbours: spread rows before that.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(perturbations))))
     shifts = []
     for j, f in enumerate(features):

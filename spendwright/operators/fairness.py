@@ -12,6 +12,7 @@ from spendwright.functions.grids import digits_of
 from spendwright.functions.tails import chi2_sf_udf
 from spendwright.operators.bootstrap import bootstrap_sums, percentile_interval
 from spendwright.operators.ordering import Ordered, exact_quantiles
+from spendwright.sources.session import materialise
 
 ERROR_FLOOR = 1.0
 
@@ -48,6 +49,7 @@ def kruskal_wallis(df: DataFrame, group: str) -> DataFrame:
     counts = df.select(F.col(group).alias("g"), absolute_percentage_error().alias("v")).groupBy("v", "g").agg(
         F.count(F.lit(1)).alias("n")
     )
+    counts = materialise(counts, "error-counts")  # read twice below
     values = counts.groupBy("v").agg(F.sum("n").alias("t"))
     ordered = Ordered(values, [F.col("v")])
     ranked = ordered.running_sum({"_c": F.col("t")})

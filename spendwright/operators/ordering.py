@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendwright.sources.session import materialise
+from spendwright.sources.session import materialise, sized
 
 RANGE = "_range"
 
@@ -81,7 +81,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     ranked = ordered.running_sum({"_cum": F.col("n")})
     totals = ordered.rows.groupBy(*by).agg(F.sum("n").alias("_total"))
     if by:
-        ranked = ranked.join(totals, by)
+        ranked = ranked.join(sized(totals, "totals"), by)
     else:
         ranked = ranked.withColumn("_total", totals.scalar())
     picks = []

@@ -142,16 +142,23 @@ class UpliftModel:
 # ---------------------------------------------------------------- evaluation
 
 
-def _ranked(df: DataFrame, key: Sequence[str], treatment: str, outcome: str, cate: str) -> DataFrame:
-    """Rows with their running arm counts and sums by falling effect."""
+def rank_units(
+    df: DataFrame, key: Sequence[str], treatment: str = "treatment", outcome: str = "outcome", cate: str = "cate"
+) -> DataFrame:
+    """Units by falling effect (ties by key) with running arm counts and sums.
+
+    The ordered units are written down, so scoring models run once however
+    often the ranking is read.
+    """
     slim = df.select(
         *key, F.col(cate).alias("cate"), F.col(treatment).cast("int").alias("t"), F.col(outcome).cast("double").alias("y")
     )
     t, y = F.col("t"), F.col("y")
     ordered = Ordered(slim, [F.desc("cate"), *[F.asc(k) for k in key]])
-    return ordered.running_sum(
+    ranked = ordered.running_sum(
         {"position": F.lit(1), "n_t": t, "n_c": 1 - t, "s_t": t * y, "s_c": (1 - t) * y}
     )
+    return ranked.withColumn("n_units", ordered.rows.agg(F.count(F.lit(1))).scalar()).withColumn("uplift", _uplift())
 
 
 def _uplift() -> Column:
@@ -163,9 +170,8 @@ def uplift_curve(
     df: DataFrame, key: Sequence[str], treatment: str = "treatment", outcome: str = "outcome", cate: str = "cate"
 ) -> DataFrame:
     """Cumulative uplift after each unit, units by falling effect, ties by key."""
-    ranked = _ranked(df, key, treatment, outcome, cate)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    return ranked.select(*key, "cate", "position", (F.col("position") / n).alias("fraction"), _uplift().alias("uplift"))
+    ranked = rank_units(df, key, treatment, outcome, cate)
+    return ranked.select(*key, "cate", "position", (F.col("position") / F.col("n_units")).alias("fraction"), "uplift")
 
 
 def _area(sum_uplift: Column, last_uplift: Column, n: Column, n_t: Column, n_c: Column) -> Column:
@@ -179,11 +185,15 @@ def auuc(
     df: DataFrame, key: Sequence[str], treatment: str = "treatment", outcome: str = "outcome", cate: str = "cate"
 ) -> DataFrame:
     """Area under the uplift curve, one row."""
-    ranked = _ranked(df, key, treatment, outcome, cate).withColumn("u", _uplift())
+    return area_of(rank_units(df, key, treatment, outcome, cate))
+
+
+def area_of(ranked: DataFrame) -> DataFrame:
+    """The area for units ranked by :func:`rank_units`."""
     sums = ranked.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("u").alias("su"),
-        F.max_by("u", "position").alias("lu"),
+        F.sum("uplift").alias("su"),
+        F.max_by("uplift", "position").alias("lu"),
         F.max("n_t").alias("nt"),
         F.max("n_c").alias("nc"),
     )
@@ -206,15 +216,26 @@ def auuc_bootstrap_ci(
     seed: int = 42,
     rank_bins: int = RANK_BINS,
 ) -> DataFrame:
-    """Bootstrap interval of the area under the uplift curve.
+    """Bootstrap interval of the area under the uplift curve."""
+    ranked = rank_units(df, key, treatment, outcome, cate)
+    return area_interval(ranked, key, replicates, confidence, seed, rank_bins)
+
+
+def area_interval(
+    ranked: DataFrame,
+    key: Sequence[str],
+    replicates: int = 500,
+    confidence: float = 0.95,
+    seed: int = 42,
+    rank_bins: int = RANK_BINS,
+) -> DataFrame:
+    """The interval for units ranked by :func:`rank_units`.
 
     Units are ranked once. Ranks are cut into equal bins and each bin into
     hashed blocks, so a replicate re-weights a fixed number of sums; a table
     with no more units than bins keeps one unit per bin.
     """
-    ranked = _ranked(df, key, treatment, outcome, cate)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    bin_of = F.floor((F.col("position") - 1) * F.lit(rank_bins) / n).cast("int")
+    bin_of = F.floor((F.col("position") - 1) * F.lit(rank_bins) / F.col("n_units")).cast("int")
     binned = ranked.select(*key, bin_of.alias("_bin"), "t", "y")
     t, y = F.col("t"), F.col("y")
     stats = {"bt": t, "bc": 1 - t, "bst": t * y, "bsc": (1 - t) * y}
@@ -244,8 +265,8 @@ def uplift_ablation(
     result: DataFrame | None = None
     for name in learners:
         scored = model.predict_cate(df, name)
-        point = auuc(scored, key, model.treatment, model.outcome)
-        interval = auuc_bootstrap_ci(scored, key, model.treatment, model.outcome, replicates=replicates)
+        ranked = rank_units(scored, key, model.treatment, model.outcome)
+        point, interval = area_of(ranked), area_interval(ranked, key, replicates)
         struct = interval.select(F.struct("ci_lower", "ci_upper").alias("c")).scalar()
         one = point.withColumn("_c", struct).select(
             F.lit(name).alias("learner"),

@@ -34,7 +34,18 @@ def _(t: Tables):
     return C.ate_ols(t["uplift_units"], "treatment", "outcome", ["x0"], by=["x1"])
 
 
-@query("ate_ols_all_confounders", "n:i ate:4")
+@query(
+    "ate_ols_all_confounders",
+    "n:i ate:4",
+    "uplift_units",
+    # Residualise one regressor after the other; the effect is the slope on
+    # what remains of the treatment.
+    """WITH a AS (SELECT *, x1 - regr_slope(x1, x0) OVER () * x0 AS r1 FROM uplift_units),
+b AS (SELECT *, x2 - regr_slope(x2, x0) OVER () * x0 - regr_slope(x2, r1) OVER () * r1 AS r2 FROM a),
+c AS (SELECT *, treatment - regr_slope(treatment, x0) OVER () * x0 - regr_slope(treatment, r1) OVER () * r1
+  - regr_slope(treatment, r2) OVER () * r2 AS tr FROM b)
+SELECT count(*) AS n, regr_slope(outcome, tr) AS ate FROM c""",
+)
 def _(t: Tables):
     return C.ate_ols(t["uplift_units"], "treatment", "outcome", CONFOUNDERS)
 

@@ -189,7 +189,7 @@ def _register_case(name: str, table: str, kwargs: dict, observed: str, success:
         f"FROM (SELECT {observed} AS o FROM {table})"
     )
 
-    @query(name, "expectation column_name observed:3 success:b", sql=check)
+    @query(name, "expectation column_name observed:4 success:b", sql=check)
     def _(t: Tables):
         return Q.run_suite(t[table], {"expectations": [{"expectation_type": kind, "kwargs": kwargs}]})
 
@@ -223,7 +223,7 @@ _SUITE_SQL = " UNION ALL ".join(
 )
 
 
-@query("run_suite", "position:i expectation observed:3 success:b note", sql=_SUITE_SQL)
+@query("run_suite", "position:i expectation observed:4 success:b note", sql=_SUITE_SQL)
 def _(t: Tables):
     return Q.run_suite(t["lineitem"], ITEM_SUITE)
 
