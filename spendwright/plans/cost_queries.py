@@ -150,7 +150,7 @@ def _(t: Tables):
 
 @query(
     "supplier_performance",
-    "supplier_id:i supplier_name country total_orders:i total_spend:1 delivery_rate:3 late_rate:3 avg_unit_price:4 "
+    "supplier_id:i supplier_name country total_orders:i total_spend:2 delivery_rate:3 late_rate:3 avg_unit_price:4 "
     "avg_delivery_days:4 avg_defect_rate:6 total_defects:i",
     "dim_supplier fact_purchase_orders fact_quality_events",
     """
