@@ -49,6 +49,7 @@ class UpliftModel:
     outcome: str = "outcome"
     params: Mapping[str, object] = field(default_factory=dict)
     _predict: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    _arm_models: dict[str, tuple] = field(default_factory=dict)
 
     def _assemble(self, df: DataFrame, extra: Sequence[str] = (), out: str = _FEATURES) -> DataFrame:
         return VectorAssembler(inputCols=[*self.features, *extra], outputCol=out).transform(df)
@@ -64,6 +65,7 @@ class UpliftModel:
         columns = [*self.features, self.treatment, self.outcome]
         rows = self._assemble(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
         rows = rows.persist()  # every learner reads the assembled rows many times
+        self._arm_models.clear()
         try:
             for name in learners:
                 self._predict[name] = getattr(self, f"_fit_{name}")(rows)
@@ -105,8 +107,15 @@ class UpliftModel:
         return rows.where(t == 1), rows.where(t == 0)
 
     def _two_models(self, rows: DataFrame, **over):
-        treated, control = self._arms(rows)
-        return self._regressor(self.outcome, **over).fit(treated), self._regressor(self.outcome, **over).fit(control)
+        """One model per arm; the T- and X-learner share theirs."""
+        name = str(sorted(over.items()))
+        if name not in self._arm_models:
+            treated, control = self._arms(rows)
+            self._arm_models[name] = (
+                self._regressor(self.outcome, **over).fit(treated),
+                self._regressor(self.outcome, **over).fit(control),
+            )
+        return self._arm_models[name]
 
     def _fit_t_learner(self, rows: DataFrame, **over):
         m1, m0 = self._two_models(rows, **over)

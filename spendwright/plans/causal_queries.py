@@ -132,9 +132,8 @@ def _(t: Tables):
 
 @query("uplift_ablation", "learner auuc:4 ci_lower:4 ci_upper:4 ci_width:4 target_auuc:2 within_target:b")
 def _(t: Tables):
-    names = ("s_learner", "t_learner")
-    units, model = _fitted(t, *names)
-    return U.uplift_ablation(model, units, KEY, learners=names)
+    units, model = _fitted(t, *U.LEARNERS)
+    return U.uplift_ablation(model, units, KEY)
 
 
 # ---------------------------------------------------------------- evaluation

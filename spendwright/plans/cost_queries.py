@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -190,16 +191,18 @@ _REPORT_ROWS = " UNION ALL ".join(
     for name, source in (("cost_variance", "r1"), ("should_cost_gap", "r2"), ("supplier_performance", "r3"))
 )
 
+_REPORT_CTES = """WITH r1 AS (SELECT DISTINCT date_trunc('month', transaction_date) AS m, f.plant_id, category
+  FROM fact_cost_transactions f JOIN dim_plant l ON f.plant_id = l.plant_id JOIN dim_product p ON f.sku_id = p.sku_id),
+r2 AS (SELECT f.sku_id FROM fact_cost_transactions f JOIN dim_product p ON f.sku_id = p.sku_id
+  GROUP BY f.sku_id, target_cost HAVING (avg(total_unit_cost) - target_cost) / target_cost > 0.10),
+r3 AS (SELECT DISTINCT o.supplier_id FROM fact_purchase_orders o JOIN dim_supplier s ON o.supplier_id = s.supplier_id)"""
+
 
 @query(
     "run_all_reports",
     "report status row_count:i",
     "dim_plant dim_product dim_supplier fact_cost_transactions fact_purchase_orders",
-    f"""WITH r1 AS (SELECT DISTINCT date_trunc('month', transaction_date) AS m, f.plant_id, category
-  FROM fact_cost_transactions f JOIN dim_plant l ON f.plant_id = l.plant_id JOIN dim_product p ON f.sku_id = p.sku_id),
-r2 AS (SELECT f.sku_id FROM fact_cost_transactions f JOIN dim_product p ON f.sku_id = p.sku_id
-  GROUP BY f.sku_id, target_cost HAVING (avg(total_unit_cost) - target_cost) / target_cost > 0.10),
-r3 AS (SELECT DISTINCT o.supplier_id FROM fact_purchase_orders o JOIN dim_supplier s ON o.supplier_id = s.supplier_id),
+    _REPORT_CTES + f""",
 d AS (SELECT transaction_date AS dd, sku_id, avg(total_unit_cost) AS a FROM fact_cost_transactions GROUP BY 1, 2),
 w AS (SELECT a, avg(a) OVER (PARTITION BY sku_id ORDER BY dd ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m FROM d),
 r4 AS (SELECT * FROM w WHERE m > 0 AND round(abs(a - m) / greatest(m * 0.1, 0.01), 6) > 2.5)
@@ -223,16 +226,26 @@ def _(t: Tables):
     return reduce(DataFrame.unionByName, rows)
 
 
-@query("explain_report", "report plan_lines:i rows:i")
+@query(
+    "explain_report",
+    "report prunes_columns:b aggregates:b row_count:i",
+    "dim_plant dim_product dim_supplier fact_cost_transactions fact_purchase_orders",
+    _REPORT_CTES + f" SELECT *, true AS prunes_columns, true AS aggregates FROM ({_REPORT_ROWS})",
+)
 def _(t: Tables):
+    """What the plan text of three reports shows, next to their row counts."""
     rows = []
     for name in ("cost_variance", "should_cost_gap", "supplier_performance"):
-        lines = len(explain_report(t, name).splitlines())
-        rows.append(
-            report(t, name).agg(F.count(F.lit(1)).alias("rows"))
-            .select(F.lit(name).alias("report"), F.lit(lines).alias("plan_lines"), "rows")
-        )
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        text = explain_report(t, name)
+        scan = re.search(r"lineitem\.parquet.*?ReadSchema: (\S+)", text, re.S).group(1)
+        facts = {
+            "report": name,
+            "prunes_columns": scan.count(":") < len(t["lineitem"].columns),
+            "aggregates": "HashAggregate" in text,
+        }
+        counted = report(t, name).agg(F.count(F.lit(1)).alias("row_count"))
+        rows.append(counted.select(*[F.lit(v).alias(k) for k, v in facts.items()], "row_count"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")

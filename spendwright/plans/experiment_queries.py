@@ -268,17 +268,51 @@ def _(t: Tables):
 # ---------------------------------------------------------------- interleaving
 
 
-@query("team_draft", "session_id:i size:i team_a_size:i team_b_size:i distinct_docs:i")
+# Two rankings per session; the second leaves out documents seen a multiple of
+# three times, so lists differ in length. Odd sessions let ranking A start.
+_LISTS = """SELECT session_id, doc, clicked, score_a, CASE WHEN score_a % 3 <> 0 THEN score_b END AS score_b FROM sessions"""
+K = 4
+
+
+def _draft_step(i: int) -> str:
+    turn = "coin = 1" if i % 2 == 0 else "coin = 0"
+    pick = f"list_filter(CASE WHEN {turn} THEN a ELSE b END, lambda x: NOT list_contains(placed, x))[1]"
+    return f"""
+p{i} AS (SELECT *, {pick} AS pick FROM s{i}),
+s{i + 1} AS (SELECT session_id, a, b, coin, live AND pick IS NOT NULL AS live,
+  CASE WHEN live AND pick IS NOT NULL THEN list_append(placed, pick) ELSE placed END AS placed,
+  CASE WHEN live AND pick IS NOT NULL AND {turn} THEN list_append(own_a, pick) ELSE own_a END AS own_a FROM p{i})"""
+
+
+_DRAFT_SQL = f"""
+li AS ({_LISTS}),
+s0 AS (SELECT session_id, coalesce(list(doc ORDER BY score_a DESC, doc), []) AS a,
+  coalesce(list(doc ORDER BY score_b DESC, doc) FILTER (score_b IS NOT NULL), []) AS b, session_id % 2 AS coin, true AS live,
+  CAST([] AS VARCHAR[]) AS placed, CAST([] AS VARCHAR[]) AS own_a FROM li GROUP BY 1),""" + ",".join(
+    _draft_step(i) for i in range(K)
+) + f""",
+dr AS (SELECT session_id, placed AS interleaved,
+  list_filter(placed, lambda x: list_contains(own_a, x) OR (list_contains(a, x) AND list_contains(b, x))) AS team_a,
+  list_filter(placed, lambda x: NOT list_contains(own_a, x) OR (list_contains(a, x) AND list_contains(b, x))) AS team_b
+  FROM s{K})"""
+
+
+def _drafted(t: Tables):
+    t["sessions"].createOrReplaceTempView("sessions")
+    ranked = I.ranked_lists(t.spark.sql(_LISTS), "session_id", "doc", "score_a", "score_b", k=K)
+    return I.team_draft(ranked.withColumn("coin", F.col("session_id") % 2), "session_id", k=K, coin="coin")
+
+
+@query(
+    "team_draft",
+    "session_id:i interleaved team_a team_b",
+    "sessions",
+    "WITH " + _DRAFT_SQL.lstrip() + " SELECT session_id, array_to_string(interleaved, ',') AS interleaved, "
+    "array_to_string(team_a, ',') AS team_a, array_to_string(team_b, ',') AS team_b FROM dr",
+)
 def _(t: Tables):
-    ranked = I.ranked_lists(t["sessions"], "session_id", "doc", "score_a", "score_b", k=4)
-    drafted = I.team_draft(ranked, "session_id", k=4)
-    return drafted.select(
-        "session_id",
-        F.size("interleaved").alias("size"),
-        F.size("team_a").alias("team_a_size"),
-        F.size("team_b").alias("team_b_size"),
-        F.size(F.array_distinct("interleaved")).alias("distinct_docs"),
-    )
+    texts = [F.concat_ws(",", c).alias(c) for c in ("interleaved", "team_a", "team_b")]
+    return _drafted(t).select("session_id", *texts)
 
 
 # Documents shown to a session: the first three of each ranking.
@@ -334,13 +368,24 @@ def _(t: Tables):
     return I.interleaving_experiment(_deltas(t))
 
 
-@query("interleaving_drafted_experiment", "n_trials:i mean_delta:6 std_delta:6 winner total_clicks_a:i total_clicks_b:i")
+@query(
+    "interleaving_drafted_experiment",
+    "n_trials:i mean_delta:6 std_delta:6 total_clicks_a:i total_clicks_b:i",
+    "sessions",
+    "WITH " + _DRAFT_SQL.lstrip() + """,
+ex AS (SELECT session_id, unnest(interleaved) AS doc, team_a, team_b FROM dr),
+cl AS (SELECT ex.session_id, coalesce(clicked, 0) = 1 AS hit, list_contains(team_a, ex.doc) AS ia,
+  list_contains(team_b, ex.doc) AS ib FROM ex LEFT JOIN li ON li.session_id = ex.session_id AND li.doc = ex.doc),
+cr AS (SELECT session_id, sum(CASE WHEN hit AND ia AND ib THEN 1 WHEN hit AND ia THEN 2 ELSE 0 END) AS clicks_a,
+  sum(CASE WHEN hit AND ia AND ib THEN 1 WHEN hit AND ib THEN 2 ELSE 0 END) AS clicks_b FROM cl GROUP BY 1),
+de AS (SELECT *, (clicks_b - clicks_a) / 2.0::DOUBLE / ((clicks_a + clicks_b) / 2.0::DOUBLE + 1e-9) AS delta FROM cr)
+SELECT count(*) AS n_trials, avg(delta) AS mean_delta, stddev_samp(delta) AS std_delta, sum(clicks_a) AS total_clicks_a,
+  sum(clicks_b) AS total_clicks_b FROM de""",
+)
 def _(t: Tables):
     """The whole chain on drafted lists: rank, draft, credit clicks, test."""
-    sessions = t["sessions"]
-    drafted = I.team_draft(I.ranked_lists(sessions, "session_id", "doc", "score_a", "score_b", 4), "session_id", 4)
-    shown = I.shown_documents(drafted, "session_id")
-    clicks = sessions.where("clicked = 1").select("session_id", "doc")
+    shown = I.shown_documents(_drafted(t), "session_id")
+    clicks = t["sessions"].where("clicked = 1").select("session_id", "doc")
     return I.interleaving_experiment(I.interleaving_delta(shown, clicks, "session_id"))
 
 

@@ -151,9 +151,13 @@ _CASES = [
     ),
     (
         "expect_columns_ordered",
-        "region",
-        {"column_list": ["r_regionkey", "r_name"]},
-        "2 + 0 * count(*)",
+        "orders",
+        {
+            "column_list": [
+                "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
+            ]
+        },
+        "6 + 0 * count(*)",
         "true",
     ),
     (
