@@ -340,21 +340,31 @@ def _log_log(rows: DataFrame, price: str, quantity: str, prefix: str) -> DataFra
     usable = (F.col(price) > 0) & (F.col(quantity) > 0)
     x = F.when(usable, F.ln(F.col(price)))
     y = F.when(usable, F.ln(F.col(quantity).cast("double")))
-    return (
+    # x and y are null together, so three central moments describe the fit.
+    moments = (
         rows.select("sku_id", x.alias("x"), y.alias("y"))
         .groupBy("sku_id")
         .agg(
             F.count(F.lit(1)).alias(f"{prefix}rows"),
-            F.struct(
-                F.regr_count("y", "x").alias("n"),
-                F.regr_slope("y", "x").alias("slope"),
-                F.regr_r2("y", "x").alias("r2"),
-                F.regr_sxx("y", "x").alias("sxx"),
-                F.regr_syy("y", "x").alias("syy"),
-                F.regr_sxy("y", "x").alias("sxy"),
-            ).alias(f"{prefix}fit"),
+            F.count("x").alias("n"),
+            F.var_pop("x").alias("vx"),
+            F.var_pop("y").alias("vy"),
+            F.covar_pop("y", "x").alias("cxy"),
         )
     )
+    n, vx, vy, cxy = F.col("n"), F.col("vx"), F.col("vy"), F.col("cxy")
+    return moments.select(
+        "sku_id",
+        f"{prefix}rows",
+        F.struct(
+            n,
+            F.try_divide(cxy, vx).alias("slope"),
+            F.coalesce(F.try_divide(cxy * cxy, vx * vy), F.lit(0.0)).alias("r2"),
+            (vx * n).alias("sxx"),
+            (vy * n).alias("syy"),
+            (cxy * n).alias("sxy"),
+        ).alias(f"{prefix}fit"),
+    )
 
 
 def price_elasticity(
