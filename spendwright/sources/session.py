@@ -21,6 +21,7 @@ RECOMMENDED_CONF = {
 }
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_CREATED: dict[str, list[str]] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -49,7 +50,23 @@ def work_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared work folder."""
-    return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _CREATED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables this session wrote; how many there were.
+
+    Call it once the results that read them have been saved.
+    """
+    paths = _CREATED.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(target.getFileSystem(conf).delete(target, True))
+    return removed
 
 
 def sized(df: DataFrame, label: str) -> DataFrame:

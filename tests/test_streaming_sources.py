@@ -10,7 +10,7 @@ from spendwright.operators import drift as D
 from spendwright.operators import experiment as E
 from spendwright.operators import features as X
 from spendwright.sources import catalog, files
-from spendwright.sources.session import materialise, new_path, work_dir
+from spendwright.sources.session import drop_intermediates, materialise, new_path, work_dir
 from spendwright.streaming import incremental as S
 
 DAY0 = dt.date(2024, 1, 1)
@@ -133,3 +133,4 @@ def test_work_dir_is_stable_and_materialise_reads_back(spark):
     assert new_path(spark, "a") != new_path(spark, "a")
     df = spark.range(5).withColumn("d", F.lit(DAY0))
     assert materialise(df, "t").exceptAll(df).count() == 0
+    assert drop_intermediates(spark) > 0 and drop_intermediates(spark) == 0
