@@ -121,7 +121,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic", params: Param
         w = model.weights(used)
         return pa.table({"at": pa.array(used[w != 0], pa.int64()), "w": w[w != 0]})
 
-    learned = sample.mapInArrow(extract, "h long, label int, x array<int>").groupBy(F.lit(0)).applyInArrow(train, "at long, w double")
+    learned = sample.mapInArrow(extract, "h long, label int, x array<int>").groupBy(F.lit("all").alias("part")).applyInArrow(train, "at long, w double")
     return {(-1 if r["at"] == 1 << p.bits else r["at"]): r["w"] for r in learned.collect()}
 
 
