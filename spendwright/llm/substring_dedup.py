@@ -141,26 +141,54 @@ def _texts(table: pa.Table) -> pa.Array:
     return pa.array(bodies, pa.large_binary()).cast(pa.large_string())
 
 
+_BASE = 63
+
+
+def _symbols(numbers: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, first symbol of each word): ``digits`` base-63 symbols for a number above 0, one zero symbol for 0.
+
+    The digits of a number use different symbols by position, so a phrase can
+    only be met at the begin of a word, and no node has more than 63 children.
+    """
+    size = np.where(numbers > 0, digits, 1)
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    known = np.flatnonzero(numbers > 0)
+    rest = numbers[known] - 1
+    for d in range(digits):
+        out[begin[known] + d] = 1 + d * _BASE + rest % _BASE
+        rest = rest // _BASE
+    return out, begin
+
+
 def _occurrences(x: Windows, recurring: np.ndarray) -> np.ndarray:
     """Word places at which a recurring phrase begins, found by the shard's automaton."""
     wanted = np.unique(recurring)
-    place = np.searchsorted(wanted, x.phrases)
-    hit = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == x.phrases) if len(wanted) else np.zeros(0, dtype=np.int64)
+    if not len(wanted) or not len(x.phrases):
+        return np.zeros(0, dtype=np.int64)
+    place = np.minimum(np.searchsorted(wanted, x.phrases), len(wanted) - 1)
+    hit = np.flatnonzero(wanted[place] == x.phrases)
     hit = hit[x.w.row[hit] == x.w.row[hit + PHRASE - 1]]
     _, first = np.unique(x.phrases[hit], return_index=True)
-    numbers = np.unique(x.h, return_inverse=True)[1].astype(np.int64) + 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for at in hit[first].tolist():
-        automaton.add_word(tuple(numbers[at : at + PHRASE].tolist()))
-    if not len(automaton):
+    first = hit[first]
+    # the words of the phrases are numbered from 1, all others and the ends of documents are 0
+    vocabulary = np.unique(x.h[(first[:, None] + np.arange(PHRASE)).ravel()])
+    if not len(vocabulary):
         return np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, x.h), len(vocabulary) - 1)
+    numbers = np.where(vocabulary[at] == x.h, at + 1, 0)
+    digits = 3 if len(vocabulary) <= _BASE**3 else 4
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    keys, begin = _symbols(numbers[(first[:, None] + np.arange(PHRASE)).ravel()], digits)
+    text, width = keys.tobytes().decode("latin-1"), digits * PHRASE
+    for i in range(0, len(text), width):
+        automaton.add_word(text[i : i + width])
     automaton.make_automaton()
-    # a zero between documents keeps phrases from crossing over
     gaps = np.flatnonzero(np.diff(x.w.row)) + 1
-    line = tuple(np.insert(numbers, gaps, 0).tolist())
-    ends = np.fromiter((end for end, _ in automaton.iter(line)), dtype=np.int64)
-    gaps_in_line = gaps + np.arange(len(gaps))
-    return ends - np.searchsorted(gaps_in_line, ends) - PHRASE + 1
+    line, begin = _symbols(np.insert(numbers, gaps, 0), digits)
+    ends = np.fromiter((end for end, _ in automaton.iter(line.tobytes().decode("latin-1"))), dtype=np.int64)
+    words = np.searchsorted(begin, ends - width + 1)
+    return words - np.searchsorted(gaps + np.arange(len(gaps)), words)
 
 
 def _first_rows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
