@@ -8,13 +8,13 @@ later than every component's. Two documents agree in a component with
 probability equal to their probability Jaccard similarity.
 
 1. Documents with equal words are one text, represented by the smallest doc_id.
-2. Components are banded; in every bucket each text is linked to the smallest
-   text, and links are verified on the whole texts (exact similarity of at
+2. Components are banded; in every bucket each text is linked to the bucket's
+   hub, and links are verified on the whole texts (exact similarity of at
    least ``least``).
-3. Texts that failed with their bucket's smallest text are compared with each
-   other in blocks of bounded size, unless they are already in one class, and
-   verified the same way. So no similar pair of a bucket is missed, and no
-   bucket is expanded into pairs.
+3. In buckets that then still hold several classes, the signatures of different
+   classes are compared in blocks of bounded size, and close pairs are verified
+   the same way. So no similar pair of a bucket is missed, and no bucket is
+   expanded into pairs.
 4. Classes are the connected components of the verified links.
 
 Null and empty texts are equal texts; other texts without a word are alike
@@ -41,8 +41,9 @@ from spendwright.sources.session import materialise
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 28, 4
-STAR = 64  # members verified beside one copy of their bucket's smallest text
-BLOCK = 128
+COMPONENTS = 1024  # of the estimate for texts whose buckets hold several classes
+STAR = 64  # members verified beside one copy of their hub's text
+BLOCK = 1024
 
 
 def weighted(column: pa.Array, n: int = WORDS) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +98,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, text_key, bands, signature): the key of equal words, band values, two bytes per component."""
-    m = BANDS * ROWS
+    """(doc, text_key, bands): the key of equal words and the band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +106,8 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 w, h, row, weight = weighted(part.column(text))
                 first, count = w.first(), part.num_rows
                 whole = w.hashes()
-                kept = probminhash(h, row, weight, count, m)
+                kept = probminhash(h, row, weight, count, BANDS * ROWS)
                 bands = W.grams_of_rows(kept.reshape(count, BANDS, ROWS)).view(np.int64)
-                small = (W.mix(kept) & np.uint64(0xFFFF)).astype("<u2")
                 keys = []
                 for r in range(count):
                     body = whole[first[r] : first[r + 1]].tobytes() or b"\0" + w.data[w.offsets[r] : w.offsets[r + 1]].tobytes()
@@ -117,10 +116,24 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 at = pa.array(np.arange(count + 1, dtype=np.int32) * BANDS)
                 lists = pa.ListArray.from_arrays(at, pa.array(bands.ravel()))
                 lists = pa.compute.if_else(pa.array(has_words), lists, pa.scalar([], lists.type))
-                arrays = [part.column(key), pa.array(keys, pa.binary()), lists, pa.array([s.tobytes() for s in small], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_key", "bands", "signature"])
+                arrays = [part.column(key), pa.array(keys, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_key", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "doc long, text_key binary, bands array<long>, signature binary")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "doc long, text_key binary, bands array<long>")
+
+
+def estimates(docs: DataFrame) -> DataFrame:
+    """(doc, signature) of (doc, text): one byte for each of ``COMPONENTS`` components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text", 500_000):
+                _, h, row, weight = weighted(part.column("text"))
+                kept = probminhash(h, row, weight, part.num_rows, COMPONENTS)
+                small = (W.mix(kept) & np.uint64(0xFF)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in small], pa.binary())], names=["doc", "signature"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, signature binary")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -180,50 +193,72 @@ def components(links: DataFrame, label: str = "near-labels") -> DataFrame:
             return labels.withColumnRenamed("label", "class")
 
 
-def _blocks(failed: DataFrame, buckets: DataFrame, labels: DataFrame, texts: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Links between texts of one bucket that are not in one class yet, from blocks of its members."""
-    keys = failed.select("bucket").distinct()
-    members = buckets.join(keys, "bucket").join(labels, "doc", "left").select("bucket", "doc", F.coalesce("class", "doc").alias("class"))
+def _hubs(bands: DataFrame) -> DataFrame:
+    """(bucket, doc, hub) of the buckets with two texts or more.
+
+    A bucket's hub is the member that meets the most texts over all its
+    buckets (the smallest of equal ones): an original rather than a copy of it.
+    """
+    counts = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(bands.join(counts, "bucket"), "near-shared")
+    met = shared.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("met"))
+    ranked = materialise(shared.join(met, "doc"), "near-ranked")
+    most = ranked.groupBy("bucket").agg(F.max("met").alias("met"))
+    hubs = ranked.join(most, ["bucket", "met"]).groupBy("bucket").agg(F.min("doc").alias("hub"))
+    return materialise(ranked.join(hubs, "bucket").select("bucket", "doc", "hub"), "near-stars")
+
+
+def _left_over(stars: DataFrame, labels: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(a, b) pairs of one bucket and different classes whose signatures are close.
+
+    Only buckets that hold several classes are looked at, in blocks of ``BLOCK``
+    signatures. The bound lies four standard deviations of the estimate below
+    ``least``; one byte agrees by chance in one case of 256.
+    """
+    low = least - 4 * (least * (1 - least) / COMPONENTS) ** 0.5
+    low += (1 - low) / 256
+    members = stars.select("bucket", "doc").join(labels, "doc", "left").select("bucket", "doc", F.coalesce("class", "doc").alias("class"))
     members = materialise(members, "near-members")
     stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("set"))
     # buckets of several bands with the same members are looked at once
     stats = stats.where("low < high").groupBy("n", "set").agg(F.min("bucket").alias("bucket"))
     sides = stats.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sides, "bucket").withColumn("i", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    rows = placed.select("bucket", "doc", "class", "i", other).select("bucket", "doc", "class", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
-    rows = rows.join(texts.select("doc", "signature"), "doc").join(docs, "doc")
-    low = 0.8 * least
-
-    def compare(group: pa.Table) -> pa.Table:
-        doc, label = group["doc"].to_numpy(), group["class"].to_pylist()
-        sig = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype="<u2").reshape(len(doc), -1)
-        _, h, row, weight = weighted(group["text"].combine_chunks())
-        at = np.searchsorted(row, np.arange(len(doc) + 1))
-        root = {c: c for c in label}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        pairs = []
-        for r in range(len(doc) - 1):
-            alike = (sig[r + 1 :] == sig[r]).mean(axis=1)
-            pairs += [(-alike[k], r, r + 1 + k) for k in np.flatnonzero(alike >= low).tolist() if label[r] != label[r + 1 + k]]
-        links: list[tuple[int, int, float]] = []
-        for _, r, k in sorted(pairs):
-            if find(label[r]) == find(label[k]):
-                continue
-            s = similarity((h[at[r] : at[r + 1]], weight[at[r] : at[r + 1]]), (h[at[k] : at[k + 1]], weight[at[k] : at[k + 1]]))
-            if s >= least:
-                root[find(label[r])] = find(label[k])
-                links.append((min(doc[r], doc[k]), max(doc[r], doc[k]), s))
-        columns = list(zip(*links, strict=True)) or [(), (), ()]
-        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
-
-    return materialise(rows.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long, similarity double"), "near-links")
+    placed = materialise(members.join(sides, "bucket"), "near-placed")
+    wanted = materialise(placed.select("doc").distinct(), "near-wanted")
+    placed = placed.join(materialise(estimates(docs.join(wanted, "doc")), "near-estimates"), "doc")
+    placed = placed.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc", "class", "signature")
+    parts = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def pairs(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
+        doc = np.array([g[0] for g in group])
+        label = np.array([g[1] for g in group])
+        sig = np.frombuffer(b"".join(g[2] for g in group), dtype=np.uint8).reshape(len(group), -1)
+        for r in range(len(group) - 1):
+            other = np.flatnonzero(label[r + 1 :] != label[r]) + r + 1
+            for k in other[(sig[other] == sig[r]).mean(axis=1) >= low].tolist():
+                yield min(doc[r], doc[k]), max(doc[r], doc[k])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def found() -> pa.RecordBatch:
+            columns = list(zip(*pairs(group), strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "doc", "class", "signature")]
+            for bucket, i, j, doc, label, sig in zip(*columns, strict=True):
+                if (bucket, i, j) != key:
+                    if len(group) > 1:
+                        yield found()
+                    key, group = (bucket, i, j), []
+                group.append((doc, label, sig))
+        if len(group) > 1:
+            yield found()
+
+    return parts.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -235,12 +270,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     bodies = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
     bands = texts.select("doc", F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = materialise(bands.join(hubs, "bucket").select("bucket", "a", F.col("doc").alias("b")), "near-stars")
-    pairs = stars.where("a < b").select("a", "b").distinct()
+    stars = _hubs(bands)
+    pairs = stars.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = _verify(pairs, bodies, least)
-    failed = stars.where("a < b").join(links.select("a", "b"), ["a", "b"], "left_anti")
-    more = _blocks(failed, stars.select("bucket", F.col("b").alias("doc")), components(links), texts, bodies, least)
+    more = _verify(_left_over(stars, components(links), bodies, least), bodies, least)
     labels = components(reduce(DataFrame.unionByName, [links, more]))
     out = belongs.join(labels.select(F.col("doc").alias("text_id"), "class"), "text_id", "left")
     return out.select(F.col("doc").alias("doc_id"), F.coalesce("class", "text_id").alias("class_id"), "text_id").unionByName(
