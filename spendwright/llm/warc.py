@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendwright.sources.session import materialise
+
 SEPARATOR = "\r\n\r\n"
 #: ``page:<id>``; segments after the first add ``:<number>``
 _URN = "<urn:page:{}>"
@@ -138,7 +140,8 @@ def write(
     pages: DataFrame, path: str, payload: str = "html", url: str = "url", key: str = "page_id", segment_bytes: int = 16_384, records_per_file: int = 4000
 ) -> None:
     """Write the pages as gzip archives below ``path`` (one compressed member a file)."""
-    revisits = choose(pages, payload, key).distinct()
+    # written first: its size is then known, and the pages are shuffled only if it is large
+    revisits = materialise(choose(pages, payload, key).distinct(), "warc-revisits")
     digest = F.sha1(F.encode(F.coalesce(payload, F.lit("")), "UTF-8")).alias("digest")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"), digest)
     rows = rows.join(revisits.withColumnRenamed(key, "key"), ["key", "digest"], "left")
