@@ -22,9 +22,15 @@ def absolute_percentage_error(y_true: str = "y_true", y_pred: str = "y_pred") ->
     return F.abs(F.col(y_true) - F.col(y_pred)) / F.greatest(F.abs(y_true), F.lit(ERROR_FLOOR))
 
 
+def measured(df: DataFrame, group: str) -> DataFrame:
+    """The rows that count: those with a group and a defined error (neither null nor NaN)."""
+    error = absolute_percentage_error().cast("double")
+    return df.where(F.col(group).isNotNull() & error.isNotNull() & ~F.isnan(error))
+
+
 def group_mape(df: DataFrame, group: str, digits: int | None = 4) -> DataFrame:
     """Mean absolute percentage error per group, best group first."""
-    means = df.groupBy(group).agg((F.avg(absolute_percentage_error()) * 100).alias("m"), F.count(F.lit(1)).alias("n_samples"))
+    means = measured(df, group).groupBy(group).agg((F.avg(absolute_percentage_error()) * 100).alias("m"), F.count(F.lit(1)).alias("n_samples"))
     return means.select(group, digits_of(F.col("m"), digits).alias("mape"), "n_samples").orderBy("mape")
 
 
@@ -33,7 +39,7 @@ def group_mape_ci(
 ) -> DataFrame:
     """Group errors with bootstrap intervals, in percent."""
     stats = {"w": F.lit(1.0), "e": absolute_percentage_error()}
-    sums = bootstrap_sums(df.where(F.col(group).isNotNull()), stats, key, [group], replicates, seed)
+    sums = bootstrap_sums(measured(df, group), stats, key, [group], replicates, seed)
     interval = percentile_interval(sums, F.when(F.col("w") > 0, F.col("e") / F.col("w") * 100), [group], confidence)
     return group_mape(df, group).join(interval, group).select(
         group, "mape", F.bround("ci_lower", 4).alias("ci_lower"), F.bround("ci_upper", 4).alias("ci_upper"), "n_samples"
@@ -46,7 +52,7 @@ def kruskal_wallis(df: DataFrame, group: str) -> DataFrame:
     Errors are compressed to counts per distinct value; a value's mid-rank
     follows from the running count, so no group is ever sorted in one place.
     """
-    counts = df.select(F.col(group).alias("g"), absolute_percentage_error().alias("v")).groupBy("v", "g").agg(
+    counts = measured(df, group).select(F.col(group).alias("g"), absolute_percentage_error().alias("v")).groupBy("v", "g").agg(
         F.count(F.lit(1)).alias("n")
     )
     counts = materialise(counts, "error-counts")  # read twice below
@@ -77,7 +83,7 @@ def chi_squared_error_bins(df: DataFrame, category: str, n_error_bins: int = 4)
     Quantiles are exact and linear; equal edges merge. With one degree of
     freedom the continuity correction applies.
     """
-    rows = df.select(F.col(category).alias("c"), absolute_percentage_error().alias("e"))
+    rows = measured(df, category).select(F.col(category).alias("c"), absolute_percentage_error().alias("e"))
     probs = [i / n_error_bins for i in range(n_error_bins + 1)]
     edges = exact_quantiles(rows, "e", probs)
     struct = edges.select(F.struct(*edges.columns).alias("q")).scalar()

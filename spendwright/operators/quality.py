@@ -15,12 +15,16 @@ from spendwright.sources.contracts import Contract, Rule
 
 
 def _violations(name: str, rule: Rule) -> dict[str, Column]:
-    """Row conditions that break the column's rule, by check name."""
+    """Row conditions that break the column's rule, by check name; NaN counts as missing."""
     raw = F.col(name)
     value = raw.try_cast(rule.dtype)
     checks = {"type": raw.isNotNull() & value.isNull()}
+    missing = raw.isNull()
+    if rule.dtype in ("double", "float"):
+        missing = missing | F.isnan(value)
+        value = F.when(~F.isnan(value), value)
     if not rule.nullable:
-        checks["not_null"] = raw.isNull()
+        checks["not_null"] = missing
     if rule.prefix is not None:
         checks["prefix"] = ~value.startswith(rule.prefix)
     if rule.isin is not None:

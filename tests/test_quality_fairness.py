@@ -169,3 +169,22 @@ def test_slices_overlap_and_skip_empty(errors):
     assert rows == {"all": 200, "bad": 100}
     with pytest.raises(ValueError):
         Y.in_slices(errors, {})
+
+
+def test_undefined_errors_do_not_count(spark):
+    from spendwright.operators import fairness
+
+    rows = [("a", 10.0, 9.0), ("a", 20.0, 25.0), ("a", 30.0, 30.5), ("b", 10.0, 12.0), ("b", 20.0, 21.0), ("b", 5.0, 9.0)]
+    odd = [("a", None, 1.0), ("b", float("nan"), 1.0), (None, 5.0, 1.0), ("b", 1.0, None)]
+    schema = "g string, y_true double, y_pred double"
+    plain, mixed = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + odd, schema)
+    for test in (fairness.kruskal_wallis, fairness.chi_squared_error_bins, fairness.group_mape):
+        assert test(plain, "g").collect() == test(mixed, "g").collect()
+
+
+def test_nan_is_missing_in_contracts(spark):
+    from spendwright.operators.quality import Rule, contract_check
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (-1.0,)], "x double")
+    found = {r["check"]: r["failures"] for r in contract_check(df, {"x": Rule("double", gt=0.0)}, "t").collect()}
+    assert found["not_null"] == 1 and found["gt"] == 1 and found["type"] == 0
