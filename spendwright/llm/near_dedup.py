@@ -225,36 +225,42 @@ def _left_over(stars: DataFrame, labels: DataFrame, docs: DataFrame, least: floa
     sides = stats.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = materialise(members.join(sides, "bucket"), "near-placed")
     wanted = materialise(placed.select("doc").distinct(), "near-wanted")
-    placed = placed.join(materialise(estimates(docs.join(wanted, "doc")), "near-estimates"), "doc")
+    # the (at most BANDS) buckets of a text: a pair is given in the smallest bucket that both have
+    listed = placed.groupBy("doc").agg(F.collect_set("bucket").alias("buckets"))
+    known = materialise(estimates(docs.join(wanted, "doc")).join(listed, "doc"), "near-estimates")
+    placed = placed.join(known, "doc")
     placed = placed.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks")).cast("int"))
     rows = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc", "class", "signature")
+    rows = rows.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc", "class", "signature", "i", "buckets")
     parts = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
-    def pairs(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    def pairs(key: tuple[int, int, int], group: list[tuple]) -> Iterator[tuple[int, int]]:
+        bucket, x, y = key
         doc = np.array([g[0] for g in group])
         label = np.array([g[1] for g in group])
         sig = np.frombuffer(b"".join(g[2] for g in group), dtype=np.uint8).reshape(len(group), -1)
         for r in range(len(group) - 1):
             other = np.flatnonzero(label[r + 1 :] != label[r]) + r + 1
             for k in other[(sig[other] == sig[r]).mean(axis=1) >= low].tolist():
-                yield min(doc[r], doc[k]), max(doc[r], doc[k])
+                here = x == y or group[r][3] != group[k][3]  # pairs inside a block come from its own group
+                if here and min(group[r][4] & group[k][4]) == bucket:
+                    yield min(doc[r], doc[k]), max(doc[r], doc[k])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
         def found() -> pa.RecordBatch:
-            columns = list(zip(*pairs(group), strict=True)) or [(), ()]
+            columns = list(zip(*pairs(key, group), strict=True)) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "doc", "class", "signature")]
-            for bucket, i, j, doc, label, sig in zip(*columns, strict=True):
-                if (bucket, i, j) != key:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "doc", "class", "signature", "i", "buckets")]
+            for bucket, x, y, doc, label, sig, block, buckets in zip(*columns, strict=True):
+                if (bucket, x, y) != key:
                     if len(group) > 1:
                         yield found()
-                    key, group = (bucket, i, j), []
-                group.append((doc, label, sig))
+                    key, group = (bucket, x, y), []
+                group.append((doc, label, sig, block, frozenset(buckets)))
         if len(group) > 1:
             yield found()
 
