@@ -277,6 +277,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     bands = texts.select("doc", F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("bucket"))
     stars = _hubs(bands)
+    # only texts that share a bucket are read again: they are picked once, before any join moves texts
+    sharing = materialise(stars.select("doc").distinct(), "near-sharing")
+    bodies = materialise(bodies.join(sharing, "doc", "left_semi"), "near-bodies")
     pairs = stars.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     links = _verify(pairs, bodies, least)
     more = _verify(_left_over(stars, components(links), bodies, least), bodies, least)
