@@ -17,15 +17,19 @@ from spendwright.streaming import incremental as S
 
 # Three consecutive spans that together cover every day.
 _CUTS = (dt.date(2024, 1, 11), dt.date(2024, 1, 21))
+FILES_PER_BATCH = 1
 
 
-def _in_three_parts(df, label: str) -> str:
-    """Write a dated table as three files in time order."""
+def _in_three_parts(df, key: str, label: str) -> str:
+    """Write a dated table in three parts in time order, a key's rows of a part in one file.
+
+    Rows without a day are in the last part.
+    """
     path = new_path(df.sparkSession, label)
     ds = F.col("ds")
-    spans = (ds < _CUTS[0], (ds >= _CUTS[0]) & (ds < _CUTS[1]), ds >= _CUTS[1])
-    for i, span in enumerate(spans):
-        df.where(span).write.parquet(f"{path}/part={i}")
+    part = F.when(ds < _CUTS[0], 0).when(ds < _CUTS[1], 1).otherwise(2)
+    for i in range(3):
+        df.where(part == i).repartition(key).write.parquet(f"{path}/part={i}")
     return path
 
 
@@ -43,18 +47,15 @@ mo AS (SELECT experiment_id,
   FROM a GROUP BY 1),""" + EQ._msprt_sql("mo") + " SELECT * FROM msprt",
 )
 def _(t: Tables):
-    events = S.parquet_stream(t.spark, t.folder, t["events"].schema, "events.parquet")
+    events = S.parquet_stream(t.spark, S.table_glob(t.folder, "events.parquet"), t["events"].schema)
     rows = events.select(
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("experiment_id"),
         F.col("user_id").cast("string").alias("unit_id"),
         "value",
     )
     rows = E.assign_batch(rows, "unit_id", EQ.SPLITS, EQ.SALT)
-    tested = S.stream_msprt(
-        rows, "value", "group", "control", "treatment", ["experiment_id"], "event_id", "ts", tau_sq=EQ.TAU_SQ
-    )
+    tested = S.stream_msprt(rows, "value", "group", "control", "treatment", ["experiment_id"], "event_id", tau_sq=EQ.TAU_SQ)
     return S.latest_batch(S.drain(tested, "update", "msprt"), ["experiment_id"])
 
 
@@ -66,8 +67,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     history = t["model_mape"]
-    path = _in_three_parts(history, "checks")
-    checks = S.parquet_stream(t.spark, f"{path}/*", history.schema)
+    path = _in_three_parts(history, "model_id", "checks")
+    checks = S.parquet_stream(t.spark, f"{path}/*", history.schema, files_per_batch=FILES_PER_BATCH)
     drift = S.stream_concept_drift(checks, threshold=MQ.THRESHOLD, consecutive_days=MQ.DAYS)
     return S.latest_batch(S.drain(drift, "update", "concept"), ["model_id"])
 
@@ -81,9 +82,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     features = X.lag_rolling_features(t["series"])
-    path = _in_three_parts(features, "features")
-    stream = S.parquet_stream(t.spark, f"{path}/*", features.schema)
-    return S.latest_batch(S.drain(S.stream_latest_snapshot(stream), "update", "snapshot"), ["unique_id"])
+    path = _in_three_parts(features, "unique_id", "features")
+    stream = S.parquet_stream(t.spark, f"{path}/*", features.schema, files_per_batch=FILES_PER_BATCH)
+    return S.upsert(S.stream_latest_snapshot(stream), ["unique_id"], "snapshot")
 
 
 @query(
@@ -97,4 +98,4 @@ def _(t: Tables):
     path = new_path(t.spark, "audit")
     log.write.json(path)
     stats = S.stream_audit_stats(S.json_stream(t.spark, path, log.schema))
-    return S.latest_batch(S.drain(stats, "update", "audit-stats"), ["outcome", "action"])
+    return S.upsert(stats, ["outcome", "action"], "audit-stats")

@@ -61,12 +61,13 @@ def drop_intermediates(spark: SparkSession) -> int:
     Call it once the results that read them have been saved.
     """
     paths = _CREATED.pop(spark.sparkContext.applicationId, [])
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        removed += bool(target.getFileSystem(conf).delete(target, True))
-    return removed
+    return sum(delete(spark, path) for path in paths)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a path below the shared work folder; whether there was one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
 
 
 def sized(df: DataFrame, label: str) -> DataFrame:

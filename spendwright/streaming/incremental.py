@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spendwright.operators.drift import CONSECUTIVE_DAYS, MAPE_THRESHOLD
 from spendwright.operators.experiment import arm_moments, msprt
-from spendwright.sources.session import new_path
+from spendwright.sources.session import delete, new_path
 
 # Ship these helpers inside the task, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,15 +38,65 @@ def drain(stream: DataFrame, mode: str, label: str) -> DataFrame:
     spark = stream.sparkSession
     path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
 
+    landed = []
+
     def land(batch: DataFrame, batch_id: int) -> None:
+        landed.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField(BATCH, T.LongType())])
+    if not landed:
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
+def upsert(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Process all available input of an update-mode stream into a table with one row per key.
+
+    Every micro-batch writes the next version of the table: the rows of the
+    version before whose keys it does not have, and its own. The versions
+    before the last two are deleted, so neither the table nor its folder grows
+    with the history. A repeated micro-batch overwrites its own version.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
+    schema, written = stream.schema, []
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        target, earlier = f"{path}/{BATCH}={batch_id}", [v for v in written if v < batch_id]
+        if earlier:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{path}/{BATCH}={max(earlier)}")
+            batch.write.mode("overwrite").parquet(f"{path}-rows")
+            batch = batch.sparkSession.read.schema(schema).parquet(f"{path}-rows")
+            new = batch.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+            table = before.join(new, reduce(Column.__and__, same), "left_anti").unionByName(batch)
+        else:
+            table = batch
+        table.write.mode("overwrite").parquet(target)
+        delete(spark, f"{path}-rows")
+        written.append(batch_id)
+        for old in earlier[:-1]:
+            delete(spark, f"{path}/{BATCH}={old}")
+            written.remove(old)
+
+    writer = stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if not written:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{BATCH}={max(written)}")
+
+
+def table_glob(folder: str, name: str) -> str:
+    """A pattern that matches one table of a folder, be it a file or a folder of files.
+
+    A stream's base path must be a folder unless it is a pattern.
+    """
+    return f"{folder.rstrip('/')}/{{{name}}}"
+
+
 def latest_batch(landed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last landed row per key (results of update mode)."""
     rest = [c for c in landed.columns if c not in (*keys, BATCH)]
@@ -74,19 +126,19 @@ def stream_msprt(
     treatment: str,
     by: Sequence[str],
     event_id: str | None = None,
-    ts: str | None = None,
-    delay: str = "1 day",
     tau_sq: float = 1.0,
     alpha: float = 0.05,
 ) -> DataFrame:
     """The sequential test after every micro-batch, one row per experiment.
 
-    State is the built-in count, mean and variance per arm. With an event id
-    and a time column, repeats inside the delay are dropped first.
+    State is the built-in count, mean and variance per arm. With an event id,
+    repeats are dropped first, however far apart they arrive: the state store
+    keeps every id and no row counts as late. Where only near repeats occur,
+    leave ``event_id`` out and deduplicate within a watermark beforehand.
     """
     rows = observations
-    if event_id and ts:
-        rows = rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([event_id])
+    if event_id:
+        rows = rows.dropDuplicates([event_id])
     return msprt(arm_moments(rows, metric, arm, control, treatment, by), tau_sq, alpha)
 
 
@@ -113,14 +165,17 @@ class _ErrorRun(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, length, recent = self.state.get() if self.state.exists() else (0, 0, [])
         run, length, recent = int(run), int(length), list(recent)
-        batch = pd.concat(list(rows)).sort_values(self.ts)
-        resets = batch[self.reset].fillna(False) if self.reset else [False] * len(batch)
-        for error, cleared in zip(batch["mape"], resets):
-            if cleared:
-                run, length, recent = 0, 0, []
-            run = run + 1 if error > self.threshold else 0
-            length += 1
-            recent = [*recent, float(error)][-self.days :]
+        wanted = [self.ts, "mape", *([self.reset] if self.reset else [])]
+        batch = pd.concat([part[wanted] for part in rows]).sort_values(self.ts, kind="stable")
+        errors = batch["mape"].to_numpy(dtype=float)
+        if self.reset:
+            cleared = np.flatnonzero(batch[self.reset].fillna(False).to_numpy(dtype=bool))
+            if len(cleared):
+                run, length, recent, errors = 0, 0, [], errors[cleared[-1] :]
+        low = np.flatnonzero(~(errors > self.threshold))
+        run = len(errors) - 1 - int(low[-1]) if len(low) else run + len(errors)
+        length += len(errors)
+        recent = [*recent, *errors[-self.days :].tolist()][-self.days :]
         self.state.update((run, length, recent))
         drifted = run >= self.days
         yield pd.DataFrame(
@@ -150,6 +205,7 @@ def stream_concept_drift(
 
     State per model is a run length and the last few errors. Checks must
     arrive in time order across micro-batches; inside one they are sorted.
+    Bound a micro-batch by files: one model's checks of it meet in one task.
     """
     schema = T.StructType(
         [
@@ -169,7 +225,7 @@ def stream_concept_drift(
 
 
 def stream_latest_snapshot(features: DataFrame, key: str = "unique_id", ts: str = "ds") -> DataFrame:
-    """The newest feature row per series; land it in update mode."""
+    """The newest feature row per series; land it with :func:`upsert`."""
     rest = [c for c in features.columns if c != key]
     newest = features.groupBy(key).agg(F.max_by(F.struct(*rest), ts).alias("_row"))
     return newest.select(key, "_row.*")

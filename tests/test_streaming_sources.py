@@ -36,7 +36,7 @@ def test_stream_msprt_drops_repeats(spark, tmp_path):
     repeated = df.unionByName(df.where("id % 10 = 0"))
     path = _write_batches(repeated, "id", [200, 400], tmp_path)
     stream = S.parquet_stream(spark, path, df.schema, files_per_batch=1)
-    landed = S.drain(S.stream_msprt(stream, "y", "arm", "c", "t", ["x"], "id", "ts"), "update", "m")
+    landed = S.drain(S.stream_msprt(stream, "y", "arm", "c", "t", ["x"], "id"), "update", "m")
     assert landed.select("batch_id").distinct().count() == 3
     got = S.latest_batch(landed, ["x"]).first()
     want = E.msprt(E.arm_moments(df, "y", "arm", "c", "t", ["x"])).first()
@@ -44,6 +44,31 @@ def test_stream_msprt_drops_repeats(spark, tmp_path):
     assert got.lambda_ratio == pytest.approx(want.lambda_ratio, rel=1e-9)
 
 
+def test_stream_over_a_table_folder_keeps_late_files(spark, tmp_path):
+    df = spark.range(90).select(
+        "id", F.lit("e").alias("x"), F.when(F.col("id") % 2 == 0, "c").otherwise("t").alias("arm"),
+        F.col("id").cast("double").alias("y"))
+    for low in (60, 0, 30):  # the files do not arrive in the order of the rows
+        df.where((F.col("id") >= low) & (F.col("id") < low + 30)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/other.parquet")
+    stream = S.parquet_stream(spark, S.table_glob(str(tmp_path), "events.parquet"), df.schema, files_per_batch=1)
+    landed = S.drain(S.stream_msprt(stream, "y", "arm", "c", "t", ["x"], "id"), "update", "m")
+    assert landed.select("batch_id").distinct().count() == 3
+    got = S.latest_batch(landed, ["x"]).first()
+    assert (got.n_control, got.n_treatment) == (45, 45)
+
+
+def test_stream_without_input_is_empty(spark, tmp_path):
+    df = spark.createDataFrame([(1, DAY0, 1.0)], "unique_id int, ds date, y double")
+    (tmp_path / "none").mkdir()
+
+    def stream():
+        return S.stream_latest_snapshot(S.parquet_stream(spark, str(tmp_path / "none"), df.schema))
+
+    assert S.drain(stream(), "update", "n").count() == 0
+    assert S.upsert(stream(), ["unique_id"], "n").columns == ["unique_id", "ds", "y"]
+
+
 def test_stream_concept_drift_keeps_state(spark, tmp_path):
     values = {"a": [0.3] * 9, "b": [0.3, 0.1, 0.3] * 3, "c": [0.1] * 9}
     rows = [(m, DAY0 + dt.timedelta(days=i), v, m == "a" and i == 4) for m, vs in values.items() for i, v in enumerate(vs)]
@@ -68,7 +93,7 @@ def test_stream_snapshot(spark, tmp_path):
     df = spark.createDataFrame(rows, "unique_id int, ds date, y double")
     path = _write_batches(df, "ds", [DAY0 + dt.timedelta(days=4), DAY0 + dt.timedelta(days=8)], tmp_path)
     stream = S.parquet_stream(spark, path, df.schema, files_per_batch=1)
-    got = S.latest_batch(S.drain(S.stream_latest_snapshot(stream), "update", "s"), ["unique_id"])
+    got = S.upsert(S.stream_latest_snapshot(stream), ["unique_id"], "s")
     assert sorted(map(tuple, got.select("unique_id", "ds", "y").collect())) == sorted(
         map(tuple, X.latest_snapshot(df).select("unique_id", "ds", "y").collect()))
 
