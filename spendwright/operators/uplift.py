@@ -9,11 +9,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendwright.operators.bootstrap import REPLICATE, bootstrap_sums, percentile_interval
 from spendwright.operators.ordering import Ordered, exact_quantiles
+from spendwright.sources.session import new_path
 
 # Default hyper-parameters of the boosted trees.
 REGRESSOR = {
@@ -23,6 +24,7 @@ REGRESSOR = {
     "minInstancesPerNode": 20,
     "subsamplingRate": 0.8,
     "seed": 42,
+    "checkpointInterval": 25,
 }
 CLASSIFIER = {**REGRESSOR, "maxDepth": 3}
 FOREST_MIN_INSTANCES = 50
@@ -36,6 +38,15 @@ LEARNERS = ("s_learner", "t_learner", "x_learner", "causal_forest")
 _FEATURES = "_features"
 
 
+def cut_lineage(spark: SparkSession) -> None:
+    """Let boosting write its residuals to the shared folder every ``checkpointInterval`` trees.
+
+    A session that was started with ``spark.checkpoint.dir`` has its folder already.
+    """
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(new_path(spark, "boosting"))
+
+
 @dataclass
 class UpliftModel:
     """Fitted learners that add a ``cate`` column.
@@ -62,6 +73,7 @@ class UpliftModel:
         unknown = set(learners) - set(LEARNERS)
         if unknown:
             raise ValueError(f"unknown learners {sorted(unknown)}; available: {list(LEARNERS)}")
+        cut_lineage(df.sparkSession)
         columns = [*self.features, self.treatment, self.outcome]
         rows = self._assemble(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
         rows = rows.persist()  # every learner reads the assembled rows many times
@@ -73,6 +85,9 @@ class UpliftModel:
             rows.unpersist()
         return self
 
+    def is_fitted(self, learner: str) -> bool:
+        return learner in self._predict
+
     def predict_cate(self, df: DataFrame, learner: str = "x_learner") -> DataFrame:
         """``df`` with the learner's ``cate``."""
         if learner not in LEARNERS:

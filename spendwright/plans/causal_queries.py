@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendwright.operators import causal as C
@@ -17,9 +20,6 @@ KEY = ["unit_id"]
 CONFOUNDERS = ["x0", "x1", "x2"]
 FEATURES = ["x0", "x1", "x2"]
 
-# Queries fit few shallow trees; the defaults of the learners are unchanged.
-QUICK = {"maxIter": 5, "maxDepth": 3}
-
 
 @query(
     "ate_ols",
@@ -87,8 +87,8 @@ def _(t: Tables):
 
 @query("refutation_pvalue", "method new_ate:4 orig_ate:4 pvalue:4 passed:b")
 def _(t: Tables):
-    return C.causal_report(
-        t["uplift_units"], "treatment", "outcome", ["x0"], KEY, methods=("data_subset", "placebo_treatment")
+    return C.causal_report(t["uplift_units"], "treatment", "outcome", CONFOUNDERS, KEY).select(
+        "method", "new_ate", "orig_ate", "pvalue", "passed"
     )
 
 
@@ -100,9 +100,22 @@ def _(t: Tables):
 # ---------------------------------------------------------------- learners
 
 
+# Models of this session by table folder: several queries score the same learners.
+_MODELS: dict[tuple[str, str], U.UpliftModel] = {}
+_SUPPLIER_MODELS: dict[tuple[str, str], object] = {}
+
+
+def _model_key(t: Tables) -> tuple[str, str]:
+    return t.spark.sparkContext.applicationId, t.folder
+
+
 def _fitted(t: Tables, *learners: str):
     units = t["uplift_units"]
-    return units, U.UpliftModel(FEATURES, params=QUICK).fit(units, learners)
+    model = _MODELS.setdefault(_model_key(t), U.UpliftModel(FEATURES))
+    missing = [name for name in learners if not model.is_fitted(name)]
+    if missing:
+        model.fit(units, missing)
+    return units, model
 
 
 def _register_learner(name: str) -> None:
@@ -118,16 +131,15 @@ for _name in U.LEARNERS:
 
 @query("predict_cate", "learner n:i mean_cate:4 min_cate:4 max_cate:4")
 def _(t: Tables):
-    names = ("s_learner", "t_learner")
-    units, model = _fitted(t, *names)
+    units, model = _fitted(t, *U.LEARNERS)
     rows = []
-    for name in names:
+    for name in U.LEARNERS:
         scored = model.predict_cate(units, name).agg(
             F.count("cate").alias("n"), F.avg("cate").alias("mean_cate"),
             F.min("cate").alias("min_cate"), F.max("cate").alias("max_cate"),
         )
         rows.append(scored.withColumn("learner", F.lit(name)))
-    return rows[0].unionByName(rows[1])
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("uplift_ablation", "learner auuc:4 ci_lower:4 ci_upper:4 ci_width:4 target_auuc:2 within_target:b")
@@ -226,11 +238,14 @@ SUPPLIER_FEATURES = ["discount", "tax", "quantity"]
 
 def _supplier_model(t: Tables):
     rows = t.sql(_SUPPLIER_ROWS)
-    stages = [
-        VectorAssembler(inputCols=SUPPLIER_FEATURES, outputCol="features"),
-        GBTRegressor(featuresCol="features", labelCol="price", seed=42, **QUICK),
-    ]
-    return rows, Pipeline(stages=stages).fit(rows)
+    if _model_key(t) not in _SUPPLIER_MODELS:
+        U.cut_lineage(t.spark)
+        stages = [
+            VectorAssembler(inputCols=SUPPLIER_FEATURES, outputCol="features"),
+            GBTRegressor(featuresCol="features", labelCol="price", **U.REGRESSOR),
+        ]
+        _SUPPLIER_MODELS[_model_key(t)] = Pipeline(stages=stages).fit(rows)
+    return rows, _SUPPLIER_MODELS[_model_key(t)]
 
 
 @query("permutation_importance", "feature mean_abs_shap:2")
