@@ -82,4 +82,43 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN
 FROM h JOIN digits USING (page_id)
 """
 
-SQL = {"op3_url_filter": OP3, "op5_chat_format": OP5, "op8_decontamination": OP8, "op9_substring_dedup": OP9, "op10_warc": OP10}
+# crc32 of the decimal id: eight shifts for each digit
+_BIT = "lambda c, b: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC = f"""xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+  lambda c, x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], {_BIT}, xor(c, x)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT doc_id, n, h, g, a, p, w, unnest(generate_series(0, n - 1)) AS i FROM p WHERE n > 0),
+e AS (SELECT doc_id, n, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM x),
+same AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM e l JOIN e r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND r.i - l.i <= l.n // 4),
+marks AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+found AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM marks GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.q < f.q AND o.s <= f.s AND o.s + o.len >= f.s + f.len)),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+  max(struct_pack(l := len, s := -s, q := -q)) AS best FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s + q, s + len - 1)) AS i FROM runs),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS body FROM e ANTI JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(-best.q AS BIGINT) AS period,
+  CAST(1000 * best.l // -best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 50)) AS i FROM d WHERE len(x) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+marks AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM gone),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marks) GROUP BY doc_id, island),
+cut AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM spans),
+parts AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, min(a) AS head FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * b + 1, 2 * (coalesce(next, len(x) // 2) - b)), '' ORDER BY a) AS body FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN head IS NULL THEN x ELSE substr(x, 1, 2 * head) || body END)) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op12_periodic_runs": OP12, "op13_suffix_dedup": OP13, "op3_url_filter": OP3, "op5_chat_format": OP5, "op8_decontamination": OP8, "op9_substring_dedup": OP9, "op10_warc": OP10}

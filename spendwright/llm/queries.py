@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendwright.llm import chat, decontaminate, fingerprints, language_id, near_dedup, packing, substring_dedup, toxicity, url_filter, warc
+from spendwright.llm import chat, decontaminate, fingerprints, language_id, near_dedup, packing, periodic, substring_dedup, suffix_dedup, toxicity, url_filter, warc, whitening
 from spendwright.llm.check_sql import SQL
 from spendwright.sources.session import materialise, new_path
 
@@ -129,6 +129,63 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return whole.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable embedding on the leading principal directions, each with unit variance."""
+    rows = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    made = whitening.whiten(rows, model)
+    share = F.lit(model.explained).cast("array<double>") if model.explained else F.array().cast("array<double>")
+    each = made.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(share, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def _made_periodic(key: str, text: str) -> Column:
+    """The text, in a tenth of the documents with a periodic end: word i >= a becomes word a + (i - a) % p."""
+    h = F.crc32(F.col(key).cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words).cast("long")
+    a = F.pmod(g, n)
+    period = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+    block = F.slice(words, (a + 1).cast("int"), period.cast("int"))
+    blocks = F.flatten(F.array_repeat(block, F.ceil((n - a) / period).cast("int")))
+    made = F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), blocks), F.lit(1), n.cast("int"))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col(text))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of which get a periodic end first."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs.withColumn("text", _made_periodic("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    told = found.select("doc_id", "n_words", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(lines, "").alias("lines"))
+    return told.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier document."""
+    cut = suffix_dedup.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,6 +199,9 @@ QUERIES = {
         op8_decontamination,
         op9_substring_dedup,
         op10_warc,
+        op11_embedding_whitening,
+        op12_periodic_runs,
+        op13_suffix_dedup,
     )
 }
 

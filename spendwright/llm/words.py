@@ -170,3 +170,29 @@ def grams_of_rows(h: np.ndarray) -> np.ndarray:
         out = out * _STEP + h[..., j]
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in one of the ranges."""
+    delta = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(delta, start, 1)
+    np.add.at(delta, end, -1)
+    return np.cumsum(delta[:-1]) > 0
+
+
+def masked(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The marked bytes of each row, as large strings or large binaries."""
+    at = np.concatenate([[0], np.cumsum(mask)])[offsets]
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data[mask].tobytes())])
+
+
+def joined(w: Words, kept: np.ndarray) -> pa.Array:
+    """The kept words of each row, joined by one blank."""
+    places = np.flatnonzero(kept)
+    follows = w.row[places[1:]] == w.row[places[:-1]]
+    blank = w.end[places[:-1][follows]]  # a separator, as another word of the row follows
+    data = w.data.copy()
+    data[blank] = 0x20
+    mask = covered(len(data), w.start[places], w.end[places])
+    mask[blank] = True
+    return masked(data, w.offsets, mask, pa.large_string())
