@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle, inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendwright.operators.bootstrap import REPLICATE, bootstrap_sums, percentile_interval
+from spendwright.operators.bootstrap import REPLICATE, bootstrap_sums, key_text, percentile_interval, replicate_weights
 from spendwright.operators.ordering import Ordered, exact_quantiles
-from spendwright.sources.session import new_path
+from spendwright.sources.session import exists, lasting_dir, materialise, move, new_path
+
+# Ship these helpers inside the task, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Default hyper-parameters of the boosted trees.
 REGRESSOR = {
@@ -24,7 +33,7 @@ REGRESSOR = {
     "minInstancesPerNode": 20,
     "subsamplingRate": 0.8,
     "seed": 42,
-    "checkpointInterval": 25,
+    "checkpointInterval": 5,
 }
 CLASSIFIER = {**REGRESSOR, "maxDepth": 3}
 FOREST_MIN_INSTANCES = 50
@@ -35,7 +44,16 @@ TARGET_TOLERANCE = 0.05
 
 LEARNERS = ("s_learner", "t_learner", "x_learner", "causal_forest")
 
+# The fitted models each learner is made of; learners share those of the arms.
+PARTS = {
+    "s_learner": ("single",),
+    "t_learner": ("treated", "control"),
+    "causal_forest": ("treated_forest", "control_forest"),
+    "x_learner": ("treated", "control", "propensity", "effect_treated", "effect_control"),
+}
+
 _FEATURES = "_features"
+_ROWS_PER_TASK = 100_000
 
 
 def cut_lineage(spark: SparkSession) -> None:
@@ -51,16 +69,20 @@ def cut_lineage(spark: SparkSession) -> None:
 class UpliftModel:
     """Fitted learners that add a ``cate`` column.
 
-    Training runs on Spark ML over the whole data; models are driver-side
-    handles and prediction is a row-local transform.
+    Boosting waits for many small jobs, so the models a learner needs are fitted
+    side by side, each in a driver thread and a scheduler pool of its own; one
+    that needs another's predictions waits only for that. Fitted models are
+    written to ``folder`` under a fingerprint of rows and parameters, and a later
+    fit of the same rows, in this session or another, reads them. Where no folder
+    is given it is below the shared one, in local mode below the temporary one.
     """
 
     features: Sequence[str]
     treatment: str = "treatment"
     outcome: str = "outcome"
     params: Mapping[str, object] = field(default_factory=dict)
-    _predict: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
-    _arm_models: dict[str, tuple] = field(default_factory=dict)
+    folder: str | None = None
+    _models: dict[str, object] = field(default_factory=dict)
 
     def _assemble(self, df: DataFrame, extra: Sequence[str] = (), out: str = _FEATURES) -> DataFrame:
         return VectorAssembler(inputCols=[*self.features, *extra], outputCol=out).transform(df)
@@ -73,94 +95,98 @@ class UpliftModel:
         unknown = set(learners) - set(LEARNERS)
         if unknown:
             raise ValueError(f"unknown learners {sorted(unknown)}; available: {list(LEARNERS)}")
-        cut_lineage(df.sparkSession)
+        spark = df.sparkSession
+        cut_lineage(spark)
         columns = [*self.features, self.treatment, self.outcome]
-        rows = self._assemble(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-        rows = rows.persist()  # every learner reads the assembled rows many times
-        self._arm_models.clear()
-        try:
-            for name in learners:
-                self._predict[name] = getattr(self, f"_fit_{name}")(rows)
-        finally:
-            rows.unpersist()
+        slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        n, folder = self._fingerprint(slim)
+        wanted = dict.fromkeys(p for name in learners for p in PARTS[name])
+        for part in wanted:
+            if exists(spark, f"{folder}/{part}"):
+                kind = GBTClassificationModel if part == "propensity" else GBTRegressionModel
+                self._models[part] = kind.load(f"{folder}/{part}")
+            else:
+                self._models.pop(part, None)
+        missing = [p for p in wanted if p not in self._models]
+        if missing:
+            # every model reads the assembled rows many times, in as few tasks as they fill
+            rows = self._assemble(slim).coalesce(max(1, -(-n // _ROWS_PER_TASK))).persist()
+            try:
+                self._models |= self._fit_together(rows, missing, folder)
+            finally:
+                rows.unpersist()
         return self
 
+    def _fingerprint(self, rows: DataFrame) -> tuple[int, str]:
+        """(rows, folder of the models that belong to these rows and parameters)."""
+        h = F.xxhash64(*rows.columns)
+        seen = rows.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0))).first()
+        said = repr((rows.sparkSession.version, list(seen), rows.columns, sorted(REGRESSOR.items()), sorted(CLASSIFIER.items()), sorted(self.params.items()), FOREST_MIN_INSTANCES))
+        base = self.folder or f"{lasting_dir(rows.sparkSession).rstrip('/')}/uplift-models"
+        return seen[0], f"{base}/{hashlib.sha256(said.encode()).hexdigest()[:32]}"
+
+    def _fit_together(self, rows: DataFrame, parts: Sequence[str], folder: str) -> dict[str, object]:
+        spark = rows.sparkSession
+        started: dict[str, Future] = {}
+
+        def model(part: str):
+            return started[part].result() if part in started else self._models[part]
+
+        def run(part: str):
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"boosting-{part}")
+            fitted = self._fit_part(part, rows, model)
+            path = new_path(spark, "model")
+            fitted.save(path)
+            move(spark, path, f"{folder}/{part}")
+            return fitted
+
+        with ThreadPoolExecutor(len(parts)) as pool:
+            for part in parts:  # in the order of PARTS, what a part needs is started before it
+                started[part] = pool.submit(inheritable_thread_target(spark)(run), part)
+            return {part: future.result() for part, future in started.items()}
+
+    def _fit_part(self, part: str, rows: DataFrame, model: Callable[[str], object]):
+        t, y = F.col(self.treatment), F.col(self.outcome)
+        if part == "single":
+            return self._regressor(self.outcome, "_with_t").fit(self._assemble(rows, [self.treatment], "_with_t"))
+        if part == "propensity":
+            options = {**CLASSIFIER, **self.params}
+            return GBTClassifier(featuresCol=_FEATURES, labelCol=self.treatment, **options).fit(rows)
+        arm = rows.where(t == (1 if "treated" in part else 0))
+        if part.startswith("effect"):
+            other = model("control" if part == "effect_treated" else "treated")
+            guessed = other.copy().setPredictionCol("_p").transform(arm)
+            gap = y - F.col("_p") if part == "effect_treated" else F.col("_p") - y
+            return self._regressor("_d").fit(guessed.select(_FEATURES, gap.alias("_d")))
+        over = {"minInstancesPerNode": FOREST_MIN_INSTANCES} if part.endswith("forest") else {}
+        return self._regressor(self.outcome, **over).fit(arm)
+
     def is_fitted(self, learner: str) -> bool:
-        return learner in self._predict
+        return all(p in self._models for p in PARTS[learner])
 
     def predict_cate(self, df: DataFrame, learner: str = "x_learner") -> DataFrame:
         """``df`` with the learner's ``cate``."""
         if learner not in LEARNERS:
             raise ValueError(f"unknown learner {learner!r}; available: {list(LEARNERS)}")
-        if learner not in self._predict:
+        if not self.is_fitted(learner):
             raise RuntimeError(f"learner {learner!r} is not fitted")
-        return self._predict[learner](df)
-
-    # Each fit returns a function from rows to rows with a cate column.
-
-    def _scored(self, df: DataFrame, models: Mapping[str, object], cate: Column) -> DataFrame:
-        out = self._assemble(df)
-        for column, model in models.items():
-            out = model.copy().setFeaturesCol(_FEATURES).setPredictionCol(column).transform(out)
-        return out.withColumn("cate", cate).select(*df.columns, "cate")
-
-    def _fit_s_learner(self, rows: DataFrame):
-        wide = self._assemble(rows, [self.treatment], "_with_t")
-        model = self._regressor(self.outcome, "_with_t").fit(wide)
-
-        def predict(df: DataFrame) -> DataFrame:
+        m, keep = self._models, [c for c in df.columns if c != "cate"]
+        if learner == "s_learner":
             out = df.withColumn("_one", F.lit(1.0)).withColumn("_zero", F.lit(0.0))
             out = self._assemble(self._assemble(out, ["_one"], "_f1"), ["_zero"], "_f0")
-            out = model.copy().setFeaturesCol("_f1").setPredictionCol("_p1").transform(out)
-            out = model.copy().setFeaturesCol("_f0").setPredictionCol("_p0").transform(out)
-            return out.withColumn("cate", F.col("_p1") - F.col("_p0")).select(*df.columns, "cate")
-
-        return predict
-
-    def _arms(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        t = F.col(self.treatment)
-        return rows.where(t == 1), rows.where(t == 0)
-
-    def _two_models(self, rows: DataFrame, **over):
-        """One model per arm; the T- and X-learner share theirs."""
-        name = str(sorted(over.items()))
-        if name not in self._arm_models:
-            treated, control = self._arms(rows)
-            self._arm_models[name] = (
-                self._regressor(self.outcome, **over).fit(treated),
-                self._regressor(self.outcome, **over).fit(control),
-            )
-        return self._arm_models[name]
-
-    def _fit_t_learner(self, rows: DataFrame, **over):
-        m1, m0 = self._two_models(rows, **over)
-        return lambda df: self._scored(df, {"_p1": m1, "_p0": m0}, F.col("_p1") - F.col("_p0"))
-
-    def _fit_causal_forest(self, rows: DataFrame):
-        """A T-learner with large leaves stands in for the forest."""
-        return self._fit_t_learner(rows, minInstancesPerNode=FOREST_MIN_INSTANCES)
-
-    def _fit_x_learner(self, rows: DataFrame):
-        treated, control = self._arms(rows)
-        m1, m0 = self._two_models(rows)
-        y = F.col(self.outcome)
-        d1 = m0.copy().setPredictionCol("_p").transform(treated).withColumn("_d", y - F.col("_p"))
-        d0 = m1.copy().setPredictionCol("_p").transform(control).withColumn("_d", F.col("_p") - y)
-        tau1 = self._regressor("_d").fit(d1.select(_FEATURES, "_d"))
-        tau0 = self._regressor("_d").fit(d0.select(_FEATURES, "_d"))
-        options = {**CLASSIFIER, **self.params}
-        propensity = GBTClassifier(featuresCol=_FEATURES, labelCol=self.treatment, **options).fit(rows)
-
-        def predict(df: DataFrame) -> DataFrame:
-            out = self._assemble(df)
-            out = tau1.copy().setPredictionCol("_t1").transform(out)
-            out = tau0.copy().setPredictionCol("_t0").transform(out)
-            out = propensity.transform(out)
-            g = vector_to_array("probability")[1]
-            out = out.withColumn("cate", g * F.col("_t0") + (1.0 - g) * F.col("_t1"))
-            return out.select(*df.columns, "cate")
-
-        return predict
+            for i in (1, 0):
+                out = m["single"].copy().setFeaturesCol(f"_f{i}").setPredictionCol(f"_p{i}").transform(out)
+            return out.withColumn("cate", F.col("_p1") - F.col("_p0")).select(*keep, "cate")
+        out = self._assemble(df)
+        one, zero = {"t_learner": PARTS["t_learner"], "causal_forest": PARTS["causal_forest"]}.get(learner, ("effect_treated", "effect_control"))
+        for column, part in (("_p1", one), ("_p0", zero)):
+            out = m[part].copy().setFeaturesCol(_FEATURES).setPredictionCol(column).transform(out)
+        if learner != "x_learner":
+            # a T-learner with large leaves stands in for the forest
+            return out.withColumn("cate", F.col("_p1") - F.col("_p0")).select(*keep, "cate")
+        g = vector_to_array("probability")[1]
+        out = m["propensity"].transform(out)
+        return out.withColumn("cate", g * F.col("_p0") + (1.0 - g) * F.col("_p1")).select(*keep, "cate")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -225,8 +251,8 @@ def area_of(ranked: DataFrame) -> DataFrame:
     return sums.select(F.col("n").alias("n_units"), area.alias("auuc"))
 
 
-RANK_BINS = 1000
-BIN_BLOCKS = 16
+CHUNK = 50_000
+_AT_ONCE = 500
 
 
 def auuc_bootstrap_ci(
@@ -238,48 +264,56 @@ def auuc_bootstrap_ci(
     replicates: int = 500,
     confidence: float = 0.95,
     seed: int = 42,
-    rank_bins: int = RANK_BINS,
 ) -> DataFrame:
     """Bootstrap interval of the area under the uplift curve."""
-    ranked = rank_units(df, key, treatment, outcome, cate)
-    return area_interval(ranked, key, replicates, confidence, seed, rank_bins)
+    return area_interval(rank_units(df, key, treatment, outcome, cate), key, replicates, confidence, seed)
 
 
 def area_interval(
-    ranked: DataFrame,
-    key: Sequence[str],
-    replicates: int = 500,
-    confidence: float = 0.95,
-    seed: int = 42,
-    rank_bins: int = RANK_BINS,
+    ranked: DataFrame, key: Sequence[str], replicates: int = 500, confidence: float = 0.95, seed: int = 42, chunk: int = CHUNK
 ) -> DataFrame:
-    """The interval for units ranked by :func:`rank_units`.
+    """The interval for units ranked by :func:`rank_units`, from the exact ranking.
 
-    Units are ranked once. Ranks are cut into equal bins and each bin into
-    hashed blocks, so a replicate re-weights a fixed number of sums; a table
-    with no more units than bins keeps one unit per bin.
+    A replicate repeats each unit by its weight, at its place, and takes the area of
+    that curve. Running counts and sums are vectors over the replicates: each
+    chunk of ``chunk`` places adds up its own, the totals of the chunks before
+    are carried in, and one scan adds the curve's heights.
     """
-    bin_of = F.floor((F.col("position") - 1) * F.lit(rank_bins) / F.col("n_units")).cast("int")
-    binned = ranked.select(*key, bin_of.alias("_bin"), "t", "y")
     t, y = F.col("t"), F.col("y")
-    stats = {"bt": t, "bc": 1 - t, "bst": t * y, "bsc": (1 - t) * y}
-    sums = bootstrap_sums(binned, stats, key, ["_bin"], replicates, seed, BIN_BLOCKS)
-    # At most rank_bins rows per replicate.
-    upto = Window.partitionBy(REPLICATE).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.select(
-        REPLICATE,
-        "_bin",
-        (F.col("bt") + F.col("bc")).alias("w"),
-        *[F.sum(c).over(upto).alias(n) for c, n in (("bt", "n_t"), ("bc", "n_c"), ("bst", "s_t"), ("bsc", "s_c"))],
-    ).withColumn("u", _uplift())
-    before = F.lag("u", 1, 0.0).over(Window.partitionBy(REPLICATE).orderBy("_bin"))
-    pieces = running.withColumn("piece", F.col("w") * (F.col("u") + before) / 2.0)
-    per_rep = pieces.groupBy(REPLICATE).agg(
-        F.sum("piece").alias("area"), F.sum("w").alias("w"), F.max("n_t").alias("nt"), F.max("n_c").alias("nc")
-    )
-    raw = F.least(F.greatest(F.try_divide("area", "w") + 0.5, F.lit(0.0)), F.lit(1.0))
-    value = F.when((F.col("nt") == 0) | (F.col("nc") == 0), F.lit(0.5)).otherwise(raw)
-    return percentile_interval(per_rep, value, (), confidence)
+    slim = ranked.select(F.floor((F.col("position") - 1) / chunk).alias("_chunk"), "position", *key, "t", "y")
+    slim = materialise(slim, "ranked")
+    names = ["nt", "nc", "st", "sc"]
+    stats = dict(zip(names, (t, 1 - t, t * y, (1 - t) * y), strict=True))
+    sums = materialise(bootstrap_sums(slim, stats, key, ["_chunk"], replicates, seed), "replicate-sums")
+    # One row per chunk and replicate.
+    before = Window.partitionBy(REPLICATE).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_chunk", REPLICATE, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(n) for n in names])
+
+    def scan(rows: pa.Table, carried: pa.Table) -> pa.Table:
+        order = np.argsort(rows["position"].to_numpy())
+        keys = np.array(rows["_text"].to_pylist(), dtype=object)[order]
+        arm, value = (rows[c].to_numpy()[order].astype(float)[:, None] for c in ("t", "y"))
+        at = np.argsort(carried[REPLICATE].to_numpy())
+        nt, nc, st, sc = (carried[n].to_numpy()[at] for n in names)
+        height = np.zeros(replicates)
+        for first in range(0, len(keys), _AT_ONCE):
+            part = slice(first, first + _AT_ONCE)
+            w, d, v = replicate_weights(keys[part], replicates, seed), arm[part], value[part]
+            steps = [w * d, w * (1 - d), w * d * v, w * (1 - d) * v]
+            a, b, c, e = (o + np.cumsum(s, axis=0) - s for o, s in zip((nt, nc, st, sc), steps, strict=True))
+            for k in range(1, int(w.max(initial=0)) + 1):  # the k-th copy of each unit
+                up = (c + k * d * v) / np.maximum(a + k * d, 1) - (e + k * (1 - d) * v) / np.maximum(b + k * (1 - d), 1)
+                height += np.where(w >= k, up, 0.0).sum(axis=0)
+            nt, nc, st, sc = (o + s.sum(axis=0) for o, s in zip((nt, nc, st, sc), steps, strict=True))
+        return pa.table({REPLICATE: pa.array(np.arange(replicates), pa.int32()), "su": height})
+
+    groups = slim.withColumn("_text", key_text(key)).select("_chunk", "position", "_text", "t", "y").groupBy("_chunk")
+    scanned = groups.cogroup(offsets.groupBy("_chunk")).applyInArrow(scan, f"{REPLICATE} int, su double")
+    heights = scanned.groupBy(REPLICATE).agg(F.sum("su").alias("su"))
+    per_rep = sums.groupBy(REPLICATE).agg(*[F.sum(n).alias(n) for n in names]).join(heights, REPLICATE)
+    last = F.col("st") / F.greatest("nt", F.lit(1.0)) - F.col("sc") / F.greatest("nc", F.lit(1.0))
+    n = F.greatest(F.col("nt") + F.col("nc"), F.lit(1.0))
+    return percentile_interval(per_rep, _area(F.col("su"), last, n, F.col("nt"), F.col("nc")), (), confidence)
 
 
 def uplift_ablation(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spendwright.operators import causal as C
 from spendwright.operators import explain as X
 from spendwright.operators import uplift as U
+from spendwright.plans import resampling_sql as R
 from spendwright.plans.registry import query
 from spendwright.sources.views import Tables
 
@@ -61,7 +62,21 @@ def _(t: Tables):
     return checked.agg(F.count(F.lit(1)).alias("n"), F.sum("treatment").alias("treated"))
 
 
-@query("ate_bootstrap_ci", "ci_lower:4 ci_upper:4")
+_CENTRED = ["x0", "x1", "x2", "treatment", "outcome"]
+_PRODUCTS, _SLOPE = R.slope(["c_" + n for n in _CENTRED])
+_ATE_INTERVAL = (
+    "c AS (SELECT unit_id, " + ", ".join(f"{n} - avg({n}) OVER () AS c_{n}" for n in _CENTRED) + " FROM uplift_units),\n"
+    + "r AS (SELECT *, " + ", ".join(_PRODUCTS) + " FROM c),"
+    + R.sums("r", KEY, [*["c_" + n for n in _CENTRED], *[p.split(" AS ")[1] for p in _PRODUCTS]], [], 500) + _SLOPE
+)
+
+
+@query(
+    "ate_bootstrap_ci",
+    "ci_lower:4 ci_upper:4",
+    "uplift_units",
+    f"WITH {_ATE_INTERVAL} SELECT quantile_cont(ate, 0.025) AS ci_lower, quantile_cont(ate, 0.975) AS ci_upper FROM solved",
+)
 def _(t: Tables):
     return C.ate_bootstrap_ci(t["uplift_units"], "treatment", "outcome", CONFOUNDERS, KEY)
 
@@ -144,8 +159,9 @@ def _(t: Tables):
 
 @query("uplift_ablation", "learner auuc:4 ci_lower:4 ci_upper:4 ci_width:4 target_auuc:2 within_target:b")
 def _(t: Tables):
+    """Outcomes in thousands, so that the areas stay inside (0, 1)."""
     units, model = _fitted(t, *U.LEARNERS)
-    return U.uplift_ablation(model, units, KEY)
+    return U.uplift_ablation(model, units.withColumn("outcome", F.col("outcome") / 1000.0), KEY)
 
 
 # ---------------------------------------------------------------- evaluation
@@ -190,7 +206,20 @@ def _(t: Tables):
     return U.auuc(_scored(t).withColumn("outcome", F.col("outcome") / 1000.0), KEY)
 
 
-@query("auuc_bootstrap_ci", "ci_lower:4 ci_upper:4")
+# Every copy of a unit is a step of the replicate's curve.
+_AREA_INTERVAL = f"""WITH s AS ({_SCORED}),
+p AS (SELECT unit_id, treatment AS t, outcome / 1000.0 AS y, row_number() OVER (ORDER BY cate DESC, unit_id) AS position FROM s),{R.draws("p", KEY, ["position", "t", "y"], 500)},
+k AS (SELECT replicate, position, t, y, w, t * w AS nt, (1 - t) * w AS nc, t * w * y AS st, (1 - t) * w * y AS sc FROM boot_draws WHERE w > 0),
+b AS (SELECT replicate, t, y, w, sum(nt) OVER q - nt AS nt, sum(nc) OVER q - nc AS nc, sum(st) OVER q - st AS st, sum(sc) OVER q - sc AS sc, position
+  FROM k WINDOW q AS (PARTITION BY replicate ORDER BY position ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, unnest(generate_series(1, w)) AS copy FROM b),
+u AS (SELECT replicate, position, copy, (st + copy * t * y) / greatest(nt + copy * t, 1) - (sc + copy * (1 - t) * y) / greatest(nc + copy * (1 - t), 1) AS u FROM c),
+a AS (SELECT replicate, count(*) AS n, sum(u) AS su, max_by(u, position * 100 + copy) AS lu FROM u GROUP BY 1),
+boot AS (SELECT least(greatest((su - lu / 2) / n + 0.5, 0), 1) AS area FROM a)
+{R.interval("area")}"""
+
+
+@query("auuc_bootstrap_ci", "ci_lower:4 ci_upper:4", "uplift_units", _AREA_INTERVAL)
 def _(t: Tables):
     return U.auuc_bootstrap_ci(_scored(t).withColumn("outcome", F.col("outcome") / 1000.0), KEY)
 

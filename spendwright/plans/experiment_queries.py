@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spendwright.operators import experiment as E
 from spendwright.operators import interleaving as I
+from spendwright.plans import resampling_sql as R
 from spendwright.plans.registry import query
 from spendwright.sources.views import Tables
 
@@ -169,7 +170,21 @@ def _(t: Tables):
     return E.cuped_variance_reduction(t.sql(EXPERIMENT_UNITS), "pre_metric", "post_metric", ["experiment_id"])
 
 
-@query("cuped_bootstrap_ci", "experiment_id ci_lower:6 ci_upper:6 median:6 std:6")
+_BOOT_SXX, _BOOT_SXY, _BOOT_SYY = "xx - x * x / one", "xy - x * y / one", "yy - y * y / one"
+
+
+@query(
+    "cuped_bootstrap_ci",
+    "experiment_id ci_lower:6 ci_upper:6 median:6 std:6",
+    sql=f"""WITH u AS ({EXPERIMENT_UNITS}),
+c AS (SELECT *, pre_metric - avg(pre_metric) OVER (PARTITION BY experiment_id) AS x,
+  post_metric - avg(post_metric) OVER (PARTITION BY experiment_id) AS y FROM u),
+r AS (SELECT *, x * x AS xx, x * y AS xy, y * y AS yy FROM c),{R.sums("r", ["unit_id"], ["x", "y", "xx", "xy", "yy"], ["experiment_id"], 1000)},
+s AS (SELECT experiment_id, CASE WHEN one > 1 AND ({_BOOT_SXX}) / (one - 1) >= 1e-12 AND ({_BOOT_SYY}) / (one - 1) > 1e-12
+  THEN ({_BOOT_SXY}) ** 2 / (({_BOOT_SXX}) * ({_BOOT_SYY})) ELSE 0 END AS v FROM boot)
+SELECT experiment_id, quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975) AS ci_upper, quantile_cont(v, 0.5) AS median,
+  stddev_samp(v) AS std FROM s GROUP BY 1""",
+)
 def _(t: Tables):
     return E.cuped_bootstrap_ci(
         t.sql(EXPERIMENT_UNITS), "pre_metric", "post_metric", ["unit_id"], ["experiment_id"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spendwright.operators import fairness as Y
 from spendwright.operators import quality as Q
+from spendwright.plans import resampling_sql as R
 from spendwright.plans.registry import query
 from spendwright.sources.contracts import Rule, choice, number, text, whole
 from spendwright.sources.views import Tables
@@ -259,7 +260,19 @@ def _(t: Tables):
     return Y.group_mape(t["predictions"], "group_label", digits=None)
 
 
-@query("group_mape_ci", "group_label mape:4 ci_lower:4 ci_upper:4 n_samples:i")
+_REPLICATES = 1000
+_SHARE = "CASE WHEN one > 0 THEN e / one * 100 END"
+
+
+@query(
+    "group_mape_ci",
+    "group_label mape:4 ci_lower:4 ci_upper:4 n_samples:i",
+    "predictions",
+    f"""WITH r AS (SELECT *, {_APE} AS e FROM predictions),{R.sums("r", ROW_KEY, ["e"], ["group_label"], _REPLICATES)},
+ci AS ({R.interval(_SHARE, ["group_label"])})
+SELECT group_label, mape, ci_lower, ci_upper, n_samples FROM ci JOIN (SELECT group_label, avg(e) * 100 AS mape, count(*) AS n_samples
+  FROM r GROUP BY 1) USING (group_label)""",
+)
 def _(t: Tables):
     return Y.group_mape_ci(t["predictions"], "group_label", ROW_KEY)
 
@@ -331,6 +344,15 @@ def _(t: Tables):
     return Y.slice_fairness(t["predictions"], {n: F.expr(p) for n, p in SLICES_SQL.items()}, digits=None)
 
 
-@query("slice_fairness_ci", "segment mape:4 ci_lower:4 ci_upper:4 n_samples:i")
+@query(
+    "slice_fairness_ci",
+    "segment mape:4 ci_lower:4 ci_upper:4 n_samples:i",
+    "predictions",
+    "WITH r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS segment, *, {_APE} AS e FROM predictions WHERE {p}" for n, p in SLICES_SQL.items()) + "),"
+    + R.sums("r", ROW_KEY, ["e"], ["segment"], _REPLICATES) + f""",
+ci AS ({R.interval(_SHARE, ["segment"])})
+SELECT segment, mape, ci_lower, ci_upper, n_samples FROM ci JOIN (SELECT segment, avg(e) * 100 AS mape, count(*) AS n_samples
+  FROM r GROUP BY 1) USING (segment)""",
+)
 def _(t: Tables):
     return Y.slice_fairness_ci(t["predictions"], {n: F.expr(p) for n, p in SLICES_SQL.items()}, ROW_KEY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import getpass
 import tempfile
 import uuid
 
@@ -48,6 +49,13 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def lasting_dir(spark: SparkSession) -> str:
+    """The folder for what later sessions may read: the shared one, or one fixed folder of this machine in local mode."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local"):
+        return work_dir(spark)
+    return f"{tempfile.gettempdir()}/spendwright-{getpass.getuser()}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared work folder."""
     path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -70,6 +78,20 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of the shared folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a finished folder its final name, unless another job has made that already; whether it was done."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    files = paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(paths[1].getParent())
+    return not files.exists(paths[1]) and bool(files.rename(*paths))
+
+
 def sized(df: DataFrame, label: str) -> DataFrame:
     """A small aggregate that is joined back to the rows it came from.
 

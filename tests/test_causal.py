@@ -1,6 +1,7 @@
 """Treatment effects, uplift learners and explanations."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +12,7 @@ from spendwright.functions.hashing import standard_normal, unit_interval
 from spendwright.operators import causal as C
 from spendwright.operators import explain as X
 from spendwright.operators import uplift as U
+from spendwright.operators.bootstrap import replicate_weights
 
 
 @pytest.fixture(scope="module")
@@ -65,8 +67,9 @@ def treated(spark):
 
 
 @pytest.fixture(scope="module")
-def model(treated):
-    return U.UpliftModel(["x0", "x1"], params={"maxIter": 8, "stepSize": 0.3}).fit(treated)
+def model(treated, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("models"))
+    return U.UpliftModel(["x0", "x1"], params={"maxIter": 8, "stepSize": 0.3}, folder=folder).fit(treated)
 
 
 @pytest.mark.parametrize("learner", U.LEARNERS)
@@ -104,6 +107,38 @@ def test_auuc_equals_numpy_with_ties(treated):
     assert U.uplift_curve(scored, ["id"]).agg(F.max("fraction")).first()[0] == 1.0
 
 
+def test_auuc_interval_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    n = 5000
+    pdf = pd.DataFrame({"id": np.arange(n), "treatment": (rng.random(n) < 0.3).astype(int), "cate": np.round(rng.normal(size=n), 1)})
+    pdf["outcome"] = rng.normal(size=n) * 0.1 + 0.05 * pdf.treatment * pdf.cate
+    weights = replicate_weights([str(i) for i in pdf.id], 30, 7)
+    order = np.lexsort((pdf.id, -pdf.cate))
+    areas = []
+    for r in range(30):
+        rows = np.repeat(order, weights[order, r].astype(int))
+        t, y = pdf.treatment.to_numpy()[rows], pdf.outcome.to_numpy()[rows]
+        areas.append(_numpy_auuc(-np.arange(len(rows)), t, y))
+    ranked = U.rank_units(spark.createDataFrame(pdf), ["id"])
+    for chunk in (700, 50_000):
+        low, high = U.area_interval(ranked, ["id"], 30, seed=7, chunk=chunk).first()
+        assert (low, high) == pytest.approx(tuple(np.quantile(areas, [0.025, 0.975])), rel=1e-9)
+
+
+def test_stored_models_are_read_not_fitted_again(treated, tmp_path, monkeypatch):
+    options = {"params": {"maxIter": 2}, "folder": str(tmp_path)}
+    first = U.UpliftModel(["x0", "x1"], **options).fit(treated, ["x_learner"])
+    fitted = []
+    fit_part = U.UpliftModel._fit_part
+    monkeypatch.setattr(U.UpliftModel, "_fit_part", lambda self, part, *a: fitted.append(part) or fit_part(self, part, *a))
+    again = U.UpliftModel(["x0", "x1"], **options).fit(treated.repartition(3), ["t_learner", "x_learner"])
+    assert not fitted
+    a, b = (m.predict_cate(treated).orderBy("id").toPandas().cate for m in (first, again))
+    assert np.array_equal(a, b)
+    U.UpliftModel(["x0", "x1"], **options).fit(treated.where("id > 3"), ["t_learner"])
+    assert sorted(fitted) == ["control", "treated"]
+
+
 def test_ablation(treated, model):
     rows = U.uplift_ablation(model, treated, ["id"], replicates=50, learners=["s_learner", "x_learner"]).collect()
     assert rows[0].auuc >= rows[1].auuc
