@@ -56,6 +56,7 @@ HOT = 20_000
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
+_MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)), (np.uint64(31), np.uint64(1)))
 _SPANS = "shard long, start binary, end binary"
 
 
@@ -68,10 +69,17 @@ def _eight(data: np.ndarray, more: int = 64) -> np.ndarray:
 def _hashed(eight: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
     """A hash of the ``size`` bytes from each place on."""
     begin = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
-    h = np.full(1, size, dtype=np.uint64)
+    h: np.ndarray | None = None
     for b in begin:
         part = eight[b:][at] if isinstance(at, slice) else eight[at + b]
-        h = W.mix(part + h * np.uint64(0x9E3779B97F4A7C15))
+        if h is None:
+            h = part + np.uint64(size)
+        else:
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += part
+        for shift, factor in _MIX:
+            h ^= h >> shift
+            h *= factor
     return h
 
 
@@ -101,6 +109,19 @@ class Windows:
         return _hashed(self.eight, at, GRAM)
 
 
+def _windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start and anchor of each string, first string of each anchor, its hash) of row slices, which bounds the arrays."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
+        low = offsets[first]
+        w = Windows(data[low : offsets[last]], offsets[first : last + 1] - low)
+        if len(w.at):
+            begin = np.flatnonzero(np.diff(w.at, prepend=-1))
+            yield w.start + low, w.at + low, begin, w.hashes(w.at[begin])
+        first = last
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """The places of ``text`` by the ``depth`` bytes (or somewhat more) from there on."""
     m = len(text)
@@ -194,16 +215,9 @@ def _anchors(ranges: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         _, _, data, offsets = _opened(rows)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        first = 0
-        while first < len(offsets) - 1:  # in slices, to bound the arrays
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1)
-            w = Windows(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-            at = w.at[np.flatnonzero(np.diff(w.at, prepend=-1))]
-            found.append((w.hashes(at), first + np.searchsorted(offsets[first : last + 1] - offsets[first], at, side="right") - 1) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            first = last
+        found = [(h, at[begin]) for _, at, begin, h in _windows(data, offsets)]
         h = np.concatenate([np.zeros(0, np.uint64), *[f[0] for f in found]])
-        row = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]])
+        row = np.searchsorted(offsets, np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]]), side="right") - 1
         order = np.argsort(h, kind="stable")
         h, row = h[order], row[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
@@ -243,7 +257,7 @@ def _recurring(hot: int):
 
 def _spans(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of what the windows at the given places cover, joined where these are neighbours."""
-    start = np.unique(start)
+    start = np.sort(start)
     new = np.diff(start, prepend=-2) > 1
     return start[new], start[np.append(new[1:], True)] + WINDOW if len(start) else start
 
@@ -267,20 +281,19 @@ _FOUND = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("start", pa.bi
 
 
 def _local(shard: int, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, is_hot: np.ndarray, merges: int) -> list[dict]:
-    w = Windows(data, offsets)
-    begin = np.flatnonzero(np.diff(w.at, prepend=-1))
-    anchor = w.hashes(w.at[begin])
     sort = np.argsort(known)
     known, is_hot = known[sort], is_hot[sort]
-    place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-    wanted = known[place] == anchor
-    size = np.diff(np.append(begin, len(w.at)))
-    chosen = np.repeat(wanted, size)
-    start, at = w.start[chosen], w.at[chosen]
+    parts = []
+    for start, at, begin, anchor in _windows(data, offsets):
+        place = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+        size = np.diff(np.append(begin, len(at)))
+        chosen = np.repeat(known[place] == anchor, size)
+        parts.append((start[chosen], at[chosen], np.repeat(place, size)[chosen]))
+    start, at, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
     if not len(start):
         return []
-    anchor, hot = np.repeat(anchor, size)[chosen], np.repeat(is_hot[place], size)[chosen]
-    del w, chosen
+    anchor, hot = known[place], is_hot[place]
+    del parts, place
     # the stretches alone, with the places of strings and anchors in them
     inside = W.covered(len(data), start, start + WINDOW)
     text = data[inside]
@@ -406,11 +419,14 @@ def _earlier(_key: tuple, rows: pa.Table) -> pa.Table:
         gone.append(start[has[late]] + before[has[late]] - o)
         holder.append(has[late])
     gone, holder = np.concatenate(gone), np.concatenate(holder)
-    piece = np.searchsorted(np.cumsum([len(s) for s in starts]), holder, side="right")
+    edges = np.cumsum([0, *[len(s) for s in starts]])
+    sort = np.argsort(holder, kind="stable")
+    gone, cuts = gone[sort], np.searchsorted(holder[sort], edges)
     out = []
-    for p in np.unique(piece):
-        a, b = _spans(gone[piece == p])
-        out.append({"shard": rows.column("shard")[int(p)].as_py(), "start": a.tobytes(), "end": b.tobytes()})
+    for shard, x, y in zip(rows.column("shard").to_pylist(), cuts, cuts[1:]):
+        if y > x:
+            a, b = _spans(gone[x:y])
+            out.append({"shard": shard, "start": a.tobytes(), "end": b.tobytes()})
     return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int64()), ("start", pa.binary()), ("end", pa.binary())]))
 
 
