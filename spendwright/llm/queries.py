@@ -50,7 +50,8 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document, learned from labelled documents that are not held out."""
     docs = _table(spark, folder, "documents").select("doc_id", "text", _held_out("doc_id").alias("held_out"))
     labels = _table(spark, folder, "labels").select("doc_id", "toxic").where(~_held_out("doc_id"))
-    weights = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    sample = toxicity.labelled_sample(docs.where(~F.col("held_out")), labels)
+    weights = toxicity.fit(materialise(sample, "labelled-texts"))
     scored = toxicity.score(docs, weights)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 

@@ -84,6 +84,32 @@ class Ftrl:
         self.n[at] += g * g
 
 
+class Weights(dict):
+    """Non-zero weights by feature index, -1 the bias, with the ``bits`` of the indexes."""
+
+    def __init__(self, weights: dict[int, float], bits: int):
+        super().__init__(weights)
+        self.bits = bits
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", params: Params | None = None) -> DataFrame:
+    """(text, label) of at most ``rows_per_label`` labelled documents for each label, chosen by a hash of the key.
+
+    The choice is made on the labels alone, so only the chosen keys, bounded by that
+    parameter, meet the documents, and no text is moved but theirs.
+    """
+    p = params or Params()
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = F.lit(1.0)
+    for value, n in counts.items():
+        share = F.when(F.col("label") == value, F.lit(min(1.0, 1.2 * p.rows_per_label / n))).otherwise(share)
+    near = known.withColumn("h", F.xxhash64(key)).where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= share)
+    order = F.row_number().over(Window.partitionBy("label").orderBy("h", key))
+    chosen = near.withColumn("k", order).where(F.col("k") <= p.rows_per_label).select(key, F.col("label").alias(label))
+    return docs.select(key, text).join(F.broadcast(chosen), key).select(text, label)
+
+
 def _sample(rows: DataFrame, text: str, label: str, p: Params) -> DataFrame:
     """At most ``rows_per_label`` rows of each label, chosen by a hash of the text."""
     labelled = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
@@ -96,8 +122,8 @@ def _sample(rows: DataFrame, text: str, label: str, p: Params) -> DataFrame:
     return near.dropDuplicates(["label", "h"]).withColumn("k", order).where(F.col("k") <= p.rows_per_label).drop("k")
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", params: Params | None = None) -> dict[int, float]:
-    """Non-zero weights by feature index; -1 is the bias."""
+def fit(rows: DataFrame, text: str = "text", label: str = "toxic", params: Params | None = None) -> Weights:
+    """The weights learned from ``rows``."""
     p = params or Params()
     sample = _sample(rows, text, label, p)
 
@@ -122,14 +148,15 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic", params: Param
         return pa.table({"at": pa.array(used[w != 0], pa.int64()), "w": w[w != 0]})
 
     learned = sample.mapInArrow(extract, "h long, label int, x array<int>").groupBy(F.lit("all").alias("part")).applyInArrow(train, "at long, w double")
-    return {(-1 if r["at"] == 1 << p.bits else r["at"]): r["w"] for r in learned.collect()}
+    return Weights({(-1 if r["at"] == 1 << p.bits else r["at"]): r["w"] for r in learned.collect()}, p.bits)
 
 
-def score(docs: DataFrame, weights: dict[int, float], text: str = "text", bits: int = 20) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; one Arrow pass."""
+def score(docs: DataFrame, weights: dict[int, float], text: str = "text") -> DataFrame:
+    """``docs`` with ``score``, the probability of label 1; one Arrow pass. Plain weights count as those of the default bits."""
+    bits = getattr(weights, "bits", Params.bits)
     kept = [c for c in docs.columns if c != "score"]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(dict(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << bits)
