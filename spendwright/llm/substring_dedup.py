@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from spendwright.llm import words as W
 
 WINDOW, PHRASE = 13, 6
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 RESULT = ("n_words", "n_removed", "kept", "cut_text")
 _LAST = np.iinfo(np.int64).max
 
@@ -243,13 +243,13 @@ def _cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def _mark(docs: pa.Table, flagged: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+def _mark(texts: pa.Array, ids: np.ndarray, flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
     """(words, removed words, kept words joined by blanks, text without the removed words) of each row."""
-    x = Windows(_texts(docs))
+    x = Windows(texts)
     w, offsets, hashes = x.w, x.w.offsets, x.hashes()
-    doc = _ids(docs, key)[w.row[x.start]]
-    removed = _confirmed(x, hashes, doc) | np.isin(hashes, flagged)
+    removed = _confirmed(x, hashes, ids[w.row[x.start]]) | np.isin(hashes, flagged)
     gone = _cover(len(x.h), x.start[removed], x.start[removed] + WINDOW)
+    del x, hashes, removed
     rows = len(offsets) - 1
     kept = ~gone
     # kept words and one blank after each that another kept word of its row follows
@@ -286,9 +286,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     schema = T.StructType([*fields, T.StructField(text, T.StringType()), *added])
 
     def mark(rows: pa.Table, flagged: pa.Table) -> pa.Table:
-        count, gone, kept, cut = _mark(rows, flagged.column("window").to_numpy().view(np.uint64), key)
-        had = rows.column("had_text").combine_chunks()
         texts = _texts(rows)
+        count, gone, kept, cut = _mark(texts, _ids(rows, key), flagged.column("window").to_numpy().view(np.uint64))
+        had = rows.column("had_text").combine_chunks()
         null = pa.scalar(None, pa.large_string())
         texts, cut = (pa.compute.if_else(had, c, null).cast(pa.string()) for c in (texts, cut))
         arrays = [*[rows.column(c) for c in others], texts, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), kept.cast(pa.string()), cut]
