@@ -10,7 +10,7 @@ from spendwright.llm.queries import QUERIES, SQL
 from tools.check import canonical
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
 def connect(folder):
@@ -63,6 +63,7 @@ def test_empty_tables(spark, tmp_path):
         "pages": "page_id long, url string, html string",
         "conversations": "conv_id long, turn long, role string, text string",
         "labels": "doc_id long, quality int, toxic int",
+        "embeddings": "vec_id long, embedding array<float>, label int",
     }
     for name, schema in schemas.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
