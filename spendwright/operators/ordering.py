@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendwright.functions.hashing import HASH_BITS, hash_order
 from spendwright.sources.session import materialise, sized
 
 RANGE = "_range"
@@ -106,9 +107,9 @@ def _hash_rank(df: DataFrame, key: Sequence[str], seed: int, keep: Sequence[str]
     construction and their borders need no sampling.
     """
     bits = max(1, math.ceil(math.log2(buckets)))
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed).cast("bigint"))
+    h = hash_order(*[F.col(k) for k in key], seed=seed)
     hashed = df.select(*keep, *[k for k in key if k not in keep], h.alias("_h"))
-    hashed = hashed.withColumn("_slice", F.shiftright("_h", 64 - bits))
+    hashed = hashed.withColumn("_slice", F.shiftright("_h", HASH_BITS - bits))
     counts = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))

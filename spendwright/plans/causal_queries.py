@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendwright.functions.hashing import hash_order_sql, standard_normal_sql, unit_interval_sql
 from spendwright.operators import causal as C
 from spendwright.operators import explain as X
 from spendwright.operators import uplift as U
@@ -85,29 +86,45 @@ def _refuted(t: Tables, method: str):
     return C.refute(t["uplift_units"], method, "treatment", "outcome", CONFOUNDERS, KEY)
 
 
-@query("refute_random_common_cause", "method new_ate:4")
-def _(t: Tables):
-    return _refuted(t, "random_common_cause")
-
-
-@query("refute_placebo_treatment", "method new_ate:4")
-def _(t: Tables):
-    return _refuted(t, "placebo_treatment")
+# The three changed relations, by the same hashed draws.
+_REFUTED_SQL = {
+    "random_common_cause": (f"(SELECT *, {standard_normal_sql(KEY, 0)} AS cause FROM uplift_units)", [*CONFOUNDERS, "cause"]),
+    "placebo_treatment": (
+        f"(SELECT a.* EXCLUDE (treatment), b.treatment FROM (SELECT *, row_number() OVER (ORDER BY {hash_order_sql(KEY, 0)}, unit_id) AS k"
+        f" FROM uplift_units) a JOIN (SELECT treatment, row_number() OVER (ORDER BY {hash_order_sql(KEY, 1)}, unit_id) AS k FROM uplift_units) b USING (k))",
+        CONFOUNDERS,
+    ),
+    "data_subset": (f"(SELECT * FROM uplift_units WHERE {unit_interval_sql(KEY, 0)} < {C.SUBSET_SHARE})", CONFOUNDERS),
+}
+_REFUTED = {m: f"SELECT '{m}' AS method, {R.ols(source, names, 'treatment', 'outcome')} AS new_ate" for m, (source, names) in _REFUTED_SQL.items()}
+_SHIFT = "abs(new_ate - CASE WHEN method = 'placebo_treatment' THEN 0 ELSE orig_ate END)"
+_REPORT = f"""WITH {_ATE_INTERVAL},
+ci AS (SELECT quantile_cont(ate, 0.025) AS ci_lower, quantile_cont(ate, 0.975) AS ci_upper FROM solved),
+e AS (SELECT (SELECT count(*) FROM uplift_units) AS n, {R.ols("uplift_units", CONFOUNDERS, "treatment", "outcome")} AS orig_ate),
+m AS ({" UNION ALL ".join(_REFUTED.values())}),
+z AS (SELECT *, {_SHIFT} / ((ci_upper - ci_lower) / 2 / 1.96 + 1e-12) AS z FROM m, e, ci),
+p AS (SELECT *, {R.two_sided("z")} AS pvalue FROM z)
+SELECT *, pvalue > {C.PASS_LEVEL} AS passed FROM p"""
+
+
+def _register_refuter(method: str) -> None:
+    @query(f"refute_{method}", "method new_ate:4", "uplift_units", _REFUTED[method])
+    def _(t: Tables):
+        return C.refute(t["uplift_units"], method, "treatment", "outcome", CONFOUNDERS, KEY)
 
 
-@query("refute_data_subset", "method new_ate:4")
-def _(t: Tables):
-    return _refuted(t, "data_subset")
+for _method in C.METHODS:
+    _register_refuter(_method)
 
 
-@query("refutation_pvalue", "method new_ate:4 orig_ate:4 pvalue:4 passed:b")
+@query("refutation_pvalue", "method new_ate:4 orig_ate:4 pvalue:4 passed:b", "uplift_units", _REPORT)
 def _(t: Tables):
     return C.causal_report(t["uplift_units"], "treatment", "outcome", CONFOUNDERS, KEY).select(
         "method", "new_ate", "orig_ate", "pvalue", "passed"
     )
 
 
-@query("causal_report", "method n:i orig_ate:4 ci_lower:4 ci_upper:4 new_ate:4 pvalue:4 passed:b")
+@query("causal_report", "method n:i orig_ate:4 ci_lower:4 ci_upper:4 new_ate:4 pvalue:4 passed:b", "uplift_units", _REPORT)
 def _(t: Tables):
     return C.causal_report(t["uplift_units"], "treatment", "outcome", CONFOUNDERS, KEY)
 

@@ -51,3 +51,20 @@ def slope(names: Sequence[str]) -> tuple[list[str], str]:
         source = target
     t, y = size - 2, size - 1
     return products, text + f",\nsolved AS (SELECT replicate, s_{t}_{y} / s_{t}_{t} AS ate FROM {source})"
+
+
+def ols(source: str, regressors: Sequence[str], treatment: str, outcome: str) -> str:
+    """The treatment coefficient of a relation as a scalar subquery."""
+    names = [*regressors, treatment, outcome]
+    centred = ["c_" + n for n in names]
+    products, solved = slope(centred)
+    added = [f"sum({c}) AS {c}" for c in centred] + [f"sum({p.split(' AS ')[0]}) AS {p.split(' AS ')[1]}" for p in products]
+    return f"""(WITH c AS (SELECT {", ".join(f"{n} - avg({n}) OVER () AS {c}" for n, c in zip(names, centred))} FROM {source}),
+boot AS (SELECT 0 AS replicate, CAST(count(*) AS DOUBLE) AS one, {", ".join(added)} FROM c){solved} SELECT ate FROM solved)"""
+
+
+def two_sided(z: str) -> str:
+    """The two-sided normal tail by a series of positive terms."""
+    x = f"greatest({z} / sqrt(2.0), 1e-300)"
+    terms = f"list_sum(list_transform(range(0, 250), lambda k: exp((2 * k + 1) * ln({x}) - {x} * {x} - lgamma(k + 1.5))))"
+    return f"CASE WHEN {z} > 9 THEN 0.0 ELSE least(greatest(1 - {terms}, 0), 1) END"
