@@ -16,6 +16,8 @@ RECOMMENDED_CONF = {
     # Split a skewed join side even when a later aggregation then needs its own
     # shuffle: one hot key must never pin a third of the rows to one task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows go to Python in batches of bounded size, however long their texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
