@@ -32,12 +32,14 @@ def _aside(docs: DataFrame, results: Iterable[str]) -> tuple[DataFrame, list[Col
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters and undecided ones go."""
+    configure(spark)
     rows, own = _aside(docs, language_id.RESULT)
     return language_id.identify(rows, language_id.fit(docs)).where("accepted").select(*own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id, once. Rows without an id stay."""
+    configure(spark)
     classes = near_dedup.near_classes(docs).where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
     kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi")
     repeated = sized(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
@@ -49,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has."""
+    configure(spark)
     rows, own = _aside(docs, substring_dedup.RESULT)
     cut = substring_dedup.remove_repeats(rows)
     changed = F.col("n_removed") > 0
@@ -59,6 +62,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
+    configure(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     rows, own = _aside(docs, decontaminate.RESULT)
     return decontaminate.find(rows, benchmark).where(F.size("spans") == 0).select(*own)
@@ -66,6 +70,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
+    configure(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -80,7 +85,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    configure(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
