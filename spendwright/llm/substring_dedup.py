@@ -201,6 +201,7 @@ def _first_rows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _candidates(_key, docs: pa.Table, phrases: pa.Table) -> pa.Table:
+    W.give_back()
     x = Windows(_texts(docs))
     doc = _ids(docs, "doc")
     found = _occurrences(x, phrases.column("phrase").to_numpy().view(np.uint64)) if docs.num_rows else np.zeros(0, dtype=np.int64)
@@ -286,6 +287,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     schema = T.StructType([*fields, T.StructField(text, T.StringType()), *added])
 
     def mark(rows: pa.Table, flagged: pa.Table) -> pa.Table:
+        W.give_back()
         texts = _texts(rows)
         count, gone, kept, cut = _mark(texts, _ids(rows, key), flagged.column("window").to_numpy().view(np.uint64))
         had = rows.column("had_text").combine_chunks()

@@ -203,6 +203,7 @@ def _packed(docs: DataFrame, columns: list[str], key: str, text: str, shards: in
 def _opened(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """(rows in a fixed order, doc of each, bytes of all texts, offsets)."""
     rows = rows.take(pc.sort_indices(rows, [("_deal", "ascending"), ("_doc", "ascending")])) if rows.num_rows else rows
+    W.give_back()
     open_ = zstandard.ZstdDecompressor()
     bodies = [open_.decompress(b.as_buffer()) if b.is_valid else b"" for b in rows.column("_body").combine_chunks()]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies], dtype=np.int64)]).astype(np.int64)

@@ -7,6 +7,7 @@ of other characters belong to words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -55,8 +56,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers are kept between stages, each with what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in row slices of about ``most`` text bytes (one row at least)."""
+    give_back()
     texts = batch.column(column)
     if not len(texts):
         return
