@@ -4,17 +4,22 @@ Patterns are the windows of ``n`` consecutive words of the benchmark items
 (an item of fewer words is one window). Patterns of one length share a table:
 the hash of a block of two words gives a shift, the distance by which the
 search may jump since no pattern has that block nearer to its end. Where the
-shift is zero, a bucket by the pattern's whole hash names the patterns to
-test, and a direct comparison of the words' bytes confirms the occurrence.
+shift is zero, the bucket of the window's suffix (the hash of its last block)
+holds the patterns to test; in it they are ordered by the hash of their first
+block, so only those with the window's prefix are left, and a direct
+comparison of the words' bytes confirms the occurrence.
 
 All documents of a batch are searched side by side: every lane of a few
 hundred window positions jumps by its own shift, in numpy. Documents are read
-in one pass and never shuffled. Patterns are broadcast in blocks of a bounded
-size; a larger benchmark takes more passes in the same job.
+in one pass and never shuffled. Tables are built once, on the driver, and
+broadcast as arrays in blocks of a bounded size; a task searches its batch
+with one block after the other. A worker holds all of them, so the benchmark
+has to fit into a worker's memory about ten times.
 
 Null and empty texts have no words, no hits and are clean. Repeated documents
 are searched one by one; repeated items count as items of their own; items
-without words match nothing; empty tables give no rows or clean rows. Other
+with a null id are listed as one null; items without words match
+nothing; empty tables give no rows or clean rows. Other
 columns pass through, and those named like a result are replaced.
 """
 
@@ -45,14 +50,15 @@ class Table:
         """``patterns``: words joined by a blank, with the items that have them."""
         self.length = length
         self.patterns = sorted(patterns)
-        self.items = [sorted(patterns[p]) for p in self.patterns]
+        self.items = [sorted(patterns[p], key=_by_name) for p in self.patterns]
         w = W.words(pa.array([p.decode("utf-8", "surrogateescape") for p in self.patterns], pa.large_string()), W.ALPHANUMERIC)
         h = w.hashes().reshape(len(self.patterns), length)
         self.block = min(2, length)
-        whole = W.grams(h.ravel(), length)[::length]
-        order = np.argsort(whole, kind="stable")
-        self.bucket_hash, self.bucket = whole[order], order
         steps = length - self.block + 1  # block positions in a pattern
+        self.suffixes, number = np.unique(self._blocks(h, steps - 1), return_inverse=True)
+        inside = self._inside(number, self._blocks(h, 0))
+        self.bucket = np.argsort(inside, kind="stable")
+        self.inside = inside[self.bucket]
         blocks = np.concatenate([self._blocks(h, j) for j in range(steps)])
         shift = np.repeat(np.arange(steps - 1, -1, -1), len(self.patterns))
         order = np.lexsort((shift, blocks))
@@ -61,6 +67,18 @@ class Table:
         first[1:] = blocks[1:] != blocks[:-1]
         self.blocks, self.shift, self.most = blocks[first], shift[first], steps
 
+    @classmethod
+    def of(cls, state: dict) -> Table:
+        """A table from the attributes of another one, as they are broadcast."""
+        table = cls.__new__(cls)
+        table.__dict__.update(state)
+        return table
+
+    @staticmethod
+    def _inside(bucket: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Order of a pattern: its bucket's number, then half of its prefix hash."""
+        return (bucket.astype(np.uint64) << np.uint64(32)) | (prefix >> np.uint64(32))
+
     def _blocks(self, h: np.ndarray, at: int) -> np.ndarray:
         return self.hash_block([h[:, at + j] for j in range(self.block)])
 
@@ -97,9 +115,10 @@ class Table:
         starts = self.candidates(h, w.first())
         if not len(starts):
             return
-        whole = W.grams(h[(starts[:, None] + np.arange(self.length)).ravel()], self.length)[:: self.length]
-        left = np.searchsorted(self.bucket_hash, whole, side="left")
-        right = np.searchsorted(self.bucket_hash, whole, side="right")
+        suffix, prefix = (self.hash_block([h[starts + at + j] for j in range(self.block)]) for at in (self.length - self.block, 0))
+        wanted = self._inside(np.searchsorted(self.suffixes, suffix), prefix)
+        left = np.searchsorted(self.inside, wanted, side="left")
+        right = np.searchsorted(self.inside, wanted, side="right")
         for i in np.flatnonzero(right > left):
             at = int(starts[i])
             text = b" ".join(w.data[w.start[at + j] : w.end[at + j]].tobytes() for j in range(self.length))
@@ -122,6 +141,10 @@ def windows(texts: list[str | None], ids: list, n: int) -> dict[int, dict[bytes,
     return {k: dict(v) for k, v in out.items()}
 
 
+def _by_name(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -133,40 +156,34 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``spans`` (hit word ranges, end excluded) and ``items`` (as sorted strings)."""
+    """``docs`` with ``n_words``, ``spans`` (hit word ranges, end excluded) and ``items`` (as sorted strings, a null last)."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in RESULT]
     fields = [docs.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
-    listed = benchmark.select(F.col(item).cast("string").alias("item"), F.col("text").alias("text")).where(F.col("item").isNotNull())
+    listed = benchmark.select(F.col(item).cast("string").alias("item"), F.col("text").alias("text"))
     size = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(*kept)
+    shared = []
     for b in range(blocks):
-        part = listed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(windows([r["text"] for r in part], [r["item"] for r in part], n))
-        out = out.mapInArrow(_searcher(shared, kept, text, b == 0), schema)
-    return out
-
+        part = listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
+        patterns = windows([r["text"] for r in part], [r["item"] for r in part], n)
+        shared.append(spark.sparkContext.broadcast([vars(Table(length, patterns[length])) for length in sorted(patterns)]))
 
-def _searcher(shared, kept: list[str], text: str, is_first: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [Table(length, patterns) for length, patterns in sorted(shared.value.items())]
+        tables = [Table.of(state) for block in shared for state in block.value]
         for batch in batches:
             for part in W.slices(batch, text):
-                yield _hits(part, tables, kept, text, is_first)
+                yield _hits(part, tables, kept, text)
 
-    return search
+    return docs.select(*kept).mapInArrow(search, schema)
 
 
-def _hits(part: pa.RecordBatch, tables: list[Table], kept: list[str], text: str, is_first: bool) -> pa.RecordBatch:
+def _hits(part: pa.RecordBatch, tables: list[Table], kept: list[str], text: str) -> pa.RecordBatch:
     w = W.words(part.column(text), W.ALPHANUMERIC, lower=True)
     h, first = w.hashes(), w.first()
     spans: list[list[tuple[int, int]]] = [[] for _ in range(part.num_rows)]
     items: list[set[str]] = [set() for _ in range(part.num_rows)]
-    if not is_first:
-        spans = [[(s["start"], s["end"]) for s in row] for row in part.column("spans").to_pylist()]
-        items = [set(row) for row in part.column("items").to_pylist()]
     for table in tables:
         for at, k in table.search(w, h):
             r = int(w.row[at])
@@ -178,5 +195,5 @@ def _hits(part: pa.RecordBatch, tables: list[Table], kept: list[str], text: str,
             items[r].update(table.items[k])
     found = [[{"start": s, "end": e} for s, e in _union(row)] for row in spans]
     columns = [part.column(c) for c in kept]
-    columns += [pa.array(np.diff(first), pa.int64()), pa.array(found, pa.list_(_ARROW_SPAN)), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+    columns += [pa.array(np.diff(first), pa.int64()), pa.array(found, pa.list_(_ARROW_SPAN)), pa.array([sorted(i, key=_by_name) for i in items], pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(columns, names=[*kept, *RESULT])

@@ -49,6 +49,9 @@ def fit(
 
     The sample is chosen by a hash of the text: the same rows at every
     partitioning, spread over the corpus. An excerpt starts at a hashed place.
+    A dictionary is the first ``dictionary_bytes`` of its excerpts, in the order
+    of their hash: with the defaults about a hundred of them fill it, the others
+    make up for short ones.
     """
     labelled = rows.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}

@@ -4,7 +4,7 @@ Every partition tokenizes its documents and packs the pieces best-fit
 decreasing. Bins with at most ``slack`` free tokens are done. The others are
 the items of the next round: they are merged from several tasks into groups of
 about ``group_rows`` bins and packed best-fit again, and so on up the tree,
-until one group is left or a round closes no bin. A task never holds more than
+until one group is left or a round neither closes nor merges a bin. A task never holds more than
 its partition's pieces or about ``group_rows`` bins of at most ``capacity``
 tokens, and only underfull bins are shuffled.
 
@@ -15,7 +15,7 @@ a bounded table.
 
 Null texts count as empty: one piece with the end id alone. Ties keep the
 order of the rows; repeated rows are packed one by one; an empty table gives
-no rows; extra columns are ignored.
+no rows; extra columns are ignored. ``doc_id`` holds integers.
 """
 
 from __future__ import annotations
@@ -215,8 +215,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     rows, before, level = left.count(), None, 1
     while rows:
         groups = max(1, -(-rows // group_rows))
-        # a round that closed no bin cannot do so by another merge of the same size: then all bins stand
-        last = groups == 1 or (before is not None and rows > 0.95 * before)
+        # a round that neither closed nor merged a bin cannot do so by another merge of the same size: then all bins stand
+        last = groups == 1 or rows == before
         merged = left.select((F.pmod(F.xxhash64("sequence_id"), F.lit(groups))).cast("int").alias("g"), "size", "pieces")
 
         made = materialise(merged.groupBy("g").applyInArrow(_merger(level, last, capacity, slack), _BIN), f"bins-{level}")

@@ -18,7 +18,7 @@ with the smallest hash in them, so only phrases that recur need a closer look:
 
 Texts travel compressed. Windows are told apart across shards by 64-bit hash.
 
-Null and empty texts have no words. A null doc_id counts as larger than any
+Null and empty texts have no words. The key holds integers. A null doc_id counts as larger than any
 other; rows that share a doc_id are not earlier than one another. Long words
 and texts are taken whole; an empty table gives no rows. Other columns pass
 through, and those named like a result are replaced.

@@ -7,7 +7,9 @@ binary search, and a hit counts only if the stored rule string is equal.
 
 A rule is ``host/path``: it fits its host and all subdomains where the URL's
 path starts with the rule's path. The longest fitting rule wins; of equally
-long ones the one with the longer host. No fitting rule: ``default`` (allow).
+long ones the one with the longer host; where one rule is listed with both
+actions, block. A rule with an empty host fits nothing. No fitting rule:
+``default`` (allow).
 
 Null URLs and URLs without ``://`` have empty host and path and fit no rule.
 Repeated rows are judged one by one; an empty table gives no rows; an empty
@@ -60,9 +62,12 @@ class Digests:
 
     @staticmethod
     def write(rules: Iterable[tuple[str, str, str]], folder: str, name: str) -> list[str]:
-        """Write (action, host, path) rules as mapped files; their paths. Of repeated rules the last counts."""
-        latest = {(host, path): action for action, host, path in rules}
-        rows = sorted((_key(host, path), host, path, action) for (host, path), action in latest.items())
+        """Write (action, host, path) rules as mapped files; their paths. Of a rule with both actions block counts."""
+        listed: dict[tuple[str, str], str] = {}
+        for action, host, path in rules:
+            if host and listed.get((host, path)) != "block":
+                listed[host, path] = action
+        rows = sorted((_key(host, path), host, path, action) for (host, path), action in listed.items())
         texts = [f"{host}\n{path}".encode() for _, host, path, _ in rows]
         arrays = {
             "keys": np.array([r[0] for r in rows], dtype=np.uint64),
@@ -155,7 +160,7 @@ def judge_joined(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
     keys = parsed.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"), prefixes.alias("prefixes"))
     keys = keys.select("host", "path", "rule_host", F.explode("prefixes").alias("rule_path"))
-    listed = rules.select(F.col("action"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
+    listed = rules.select(F.col("action"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).where("host <> ''")
     size = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "rule_path").alias("rule"), "action")
     best = keys.join(listed, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(size).alias("best"))
     verdict = F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict")

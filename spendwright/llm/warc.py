@@ -6,11 +6,16 @@ record block is an HTTP response whose body is in chunked transfer coding; a
 block longer than ``segment_bytes`` is cut into a first record and
 continuation records that carry the origin's id, their number and, in the
 last one, the total length. Records are written as text rows with the record
-separator as line separator, so Spark's own writer makes the archive files.
+separator as line separator, so Spark's own writer makes the archive files
+(one gzip member each).
 
-Reading: files are parsed by Content-Length, continuation records are grouped
-by origin identifier, ordered by segment number and their total length is
-verified; then the chunked framing is decoded.
+Reading: files, plain or gzip with any number of members (archives commonly
+hold one per record), are parsed by Content-Length, continuation records are
+grouped by origin identifier, ordered by segment number and their total length
+is verified; then the chunked framing is decoded. Archives of other writers
+are read as well: their record ids are the keys, a response or resource
+without an HTTP head is its own payload, and records of other types (warcinfo,
+request, metadata) have none.
 
 Null payloads count as empty; null URLs become empty targets. Among equal
 payloads the largest page id is the response, all others revisit it. Repeated
@@ -107,6 +112,20 @@ def records(name: str, url: str, payload: bytes, digest: str, refers_to: str | N
         yield _record("continuation", f"{name}:{i}", url, part, more)
 
 
+def inflate(raw: bytes) -> bytes:
+    """The content of a plain or gzip archive; all members of the latter."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    parts = []
+    while raw:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(raw))
+        if not member.eof:
+            raise ValueError("gzip member is not whole")
+        raw = member.unused_data.lstrip(b"\0")  # zero padding may follow the last member
+    return b"".join(parts)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record of an archive's bytes."""
     at = 0
@@ -169,10 +188,8 @@ def read_parts(spark, path: str) -> DataFrame:
         types = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.binary()]
         for batch in batches:
             for content in batch.column("content"):
-                raw = content.as_py()
-                data = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
                 rows = []
-                for f, block in parse(data):
+                for f, block in parse(inflate(content.as_py())):
                     number = f.get("warc-segment-number")
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     rows.append((f["warc-type"], f["warc-record-id"], f.get("warc-refers-to"), digest, f.get("warc-segment-origin-id"), number and int(number), f.get("warc-segment-total-length") and int(f["warc-segment-total-length"]), block))
@@ -199,30 +216,40 @@ def reassemble(parts: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_type", "record_id", "refers_to", "payload_digest")],
     )
     numbers = F.col("s.segment")
-    joined = F.array_join(F.transform(F.col("s.block"), lambda b: F.hex(b)), "")
+    # a binary cast to string keeps its bytes as they are
+    joined = F.array_join(F.transform(F.col("s.block"), lambda b: b.cast("string")), "").cast("binary")
     in_order = numbers == F.sequence(F.lit(1).cast("long"), F.size("s").cast("long"))
     length = F.aggregate(F.col("s.block"), F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b))
     fine = in_order & (length == F.col("total")) & F.col("record_id").isNotNull()
-    block = F.when(fine, F.unhex(joined)).otherwise(F.raise_error(F.concat(F.lit("segments are not whole: "), F.col("origin"))).cast("binary"))
+    block = F.when(fine, joined).otherwise(F.raise_error(F.concat(F.lit("segments are not whole: "), F.col("origin"))).cast("binary"))
     return whole.unionByName(groups.select("record_type", "record_id", "refers_to", "payload_digest", block.alias("block")))
 
 
+def _payload(block: bytes) -> bytes:
+    """The body of an HTTP response, or a block that is none as it is."""
+    if not block.startswith(b"HTTP/"):
+        return block
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        raise ValueError("HTTP header is not whole")
+    return dechunk(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked", head) else body
+
+
 def read(spark, path: str) -> DataFrame:
-    """Records of the archives: ``key``, ``record_type``, ``refers_to``, ``stated_digest``, ``payload``; revisits have no payload."""
+    """Records of the archives: ``key``, ``record_type``, ``refers_to``, ``stated_digest``, ``payload``; revisits have no payload.
+
+    ``key`` and ``refers_to`` are page ids in archives of :func:`write`, and record ids as they stand in others.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = []
-            for kind, block in zip(batch.column("record_type").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                head, found, body = block.partition(b"\r\n\r\n")
-                if not found:
-                    raise ValueError("HTTP header is not whole")
-                is_chunked = re.search(rb"(?im)^transfer-encoding:\s*chunked", head)
-                payloads.append(None if kind != "response" else dechunk(body) if is_chunked else body)
+            for kind, block in zip(batch.column("record_type").to_pylist(), batch.column("block"), strict=True):
+                payloads.append(_payload(block.as_py()) if kind in ("response", "resource") else None)
             columns = [batch.column(c) for c in ("record_type", "record_id", "refers_to", "payload_digest")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(payloads, pa.binary())], names=["record_type", "record_id", "refers_to", "stated_digest", "payload"])
 
     schema = "record_type string, record_id string, refers_to string, stated_digest string, payload binary"
     found = reassemble(read_parts(spark, path)).select("record_type", "record_id", "refers_to", "payload_digest", "block").mapInArrow(decode, schema)
-    name = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)
-    return found.select(name("record_id").alias("key"), "record_type", F.when(F.col("refers_to").isNotNull(), name("refers_to")).alias("refers_to"), "stated_digest", "payload")
+    name = lambda c: F.regexp_replace(c, r"(?s)^<urn:page:(.*)>$", "$1")
+    return found.select(name("record_id").alias("key"), "record_type", name("refers_to").alias("refers_to"), "stated_digest", "payload")

@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and their own other paths."""
 
+import gzip
 import random
 import re
 import zlib
@@ -157,6 +158,48 @@ def test_shards_and_blocks_change_nothing(spark):
     assert found[0] == found[1] and [r["doc_id"] for r in found[0] if r["items"]] == list(range(10))
 
 
+def test_suffix_buckets_equal_brute_force():
+    """Patterns that share suffixes, prefixes or both, in texts that come close to them."""
+    rng = random.Random(5)
+    items = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    patterns = decontaminate.windows(items, [str(i) for i in range(len(items))], 10)
+    tables = [decontaminate.Table.of(vars(decontaminate.Table(n, p))) for n, p in patterns.items()]
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 700))) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = decontaminate._hits(batch, tables, ["text"], "text").to_pylist()
+    for row, text in zip(found, texts, strict=True):
+        words, hit, named = text.split(), set(), set()
+        for i, item in enumerate(items):
+            parts = item.split()
+            n = min(10, len(parts))
+            for w in {tuple(parts[j : j + n]) for j in range(len(parts) - n + 1)}:
+                for at in range(len(words) - n + 1):
+                    if tuple(words[at : at + n]) == w:
+                        hit |= set(range(at, at + n))
+                        named.add(str(i))
+        assert {k for s in row["spans"] for k in range(s["start"], s["end"])} == hit
+        assert row["items"] == sorted(named)
+
+
+def test_repeated_rules_and_empty_hosts(spark):
+    rules = [("block", "net", "/"), ("allow", "net", "/"), ("allow", "org", "/"), ("block", "org", "/"), ("block", "", "/")]
+    pages = spark.createDataFrame([(0, "http://net/x"), (1, "http:///x"), (2, "http://a.org/"), (3, "http://b.com/")], "page_id int, url string")
+    for most in (1 << 30, 1):
+        told = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, most_bytes=most).collect()}
+        assert told == {0: ("net/", "block"), 1: (None, "allow"), 2: ("org/", "block"), 3: (None, "allow")}
+
+
+def test_packing_merges_until_no_bin_changes(spark, tmp_path):
+    """Many small groups: the tree goes on while bins merge, and ends close to the least number of bins."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', cast(3 + id * 7 % 40 AS int)) AS text").repartition(60)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack(docs, path, capacity=64, slack=0, group_rows=40).toPandas()
+    assert len(rows) == 3000
+    filled = rows.groupby("sequence_id")["length"].sum()
+    assert filled.max() <= 64
+    assert len(filled) <= 1.12 * -(-int(rows["length"].sum()) // 64)
+
+
 def test_url_rules_mapped_and_joined_agree(spark):
     urls = ["http://a.example.net/en/x", "http://example.net/de/", "http://q.org/fr/", "http://q.org/", None, "http://example.com/de/a?b"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
@@ -185,6 +228,42 @@ def test_warc_round_trip_and_broken_archives():
         warc.dechunk(b"5\r\nab")
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, name, block, more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = bytes(range(256)) * 20
+    both = http + body
+    records = [
+        record("warcinfo", "i", b"software: x\r\n"),
+        record("request", "q", b"GET / HTTP/1.1\r\n\r\n"),
+        record("response", "r", http + b"plain\xff\x00"),
+        record("response", "d", b"20240101\nexample.net. 1 IN A 1.2.3.4\n"),
+        record("resource", "f", b"file"),
+        record("revisit", "v", http, "WARC-Refers-To: <urn:uuid:r>\r\n"),
+        record("response", "s", both[:3000], "WARC-Segment-Number: 1\r\n"),
+        record("continuation", "s2", both[3000:], f"WARC-Segment-Number: 2\r\nWARC-Segment-Origin-ID: <urn:uuid:s>\r\nWARC-Segment-Total-Length: {len(both)}\r\n"),
+    ]
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:6]))
+    (folder / "b.warc").write_bytes(b"".join(records[6:]))
+    rows = {r["key"]: (r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in warc.read(spark, str(folder)).collect()}
+    assert rows == {
+        "<urn:uuid:i>": ("warcinfo", None, None),
+        "<urn:uuid:q>": ("request", None, None),
+        "<urn:uuid:r>": ("response", None, b"plain\xff\x00"),
+        "<urn:uuid:d>": ("response", None, b"20240101\nexample.net. 1 IN A 1.2.3.4\n"),
+        "<urn:uuid:f>": ("resource", None, b"file"),
+        "<urn:uuid:v>": ("revisit", "<urn:uuid:r>", None),
+        "<urn:uuid:s>": ("response", None, body),
+    }
+    with pytest.raises(ValueError):
+        warc.inflate(gzip.compress(records[0])[:-9])
+
+
 def test_lost_segment_is_an_error(spark):
     rows = [("response", "<urn:page:1>", None, None, None, 1, None, bytearray(b"ab")), ("continuation", "<urn:page:1:3>", None, None, "<urn:page:1>", 3, 4, bytearray(b"cd"))]
     parts = spark.createDataFrame(rows, warc._PARTS)

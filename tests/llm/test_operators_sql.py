@@ -30,7 +30,7 @@ def odd(spark, tmp_path_factory):
     texts = [None, "", " \t\n", long, long, "X " + long + " y", "a b c", long.upper(), "é" * 3000, "W1 w2, w3-w4 w5 W6 w7 w8 w9 w10 w11", "%%% ***", "ab\u00a0cd \u0301x " * 30, "w0 w1 w2 W3 tiny q"]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    items = [(0, long), (1, "tiny q"), (2, None), (3, "..."), (10, "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
+    items = [(0, long), (1, "tiny q"), (2, None), (3, "..."), (None, "a b"), (None, "b c"), (10, "w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     urls = [None, "", "no scheme", "http://NET/x", "https://a.example.NET/en/1?q#z", "ftp://example.net?x", "http://org/fr/", "x://example.com/de/y", "://a.org/fr", "http://notnet/", "http://b.org#/fr/", "HTTP://É.Org/fr/1\n2"]
     html = [None, "", "<p>same</p>", "<p>same</p>", "x\r\n\r\nWARC/1.1\r\n", "0\r\n\r\n", "é" * 40_000, "\u0000\n", "<p>same</p>", "", "y", "z" * 16_384]
