@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendwright.functions.grids import digits_of, explode_values
-from spendwright.functions.tails import kolmogorov_sf_udf
+from spendwright.functions.tails import ks_two_sample_sf_udf
 from spendwright.operators.ordering import Ordered
 from spendwright.sources.session import sized
 
@@ -57,7 +57,8 @@ def ks_statistics(
     """Two-sample Kolmogorov-Smirnov distance and tail per feature.
 
     Both samples are first compressed to counts per distinct value, then
-    accumulated in global value order.
+    accumulated in global value order. The tail is exact up to 10,000 values a
+    sample, and corrected for the finite size above.
     """
     names = numeric_columns(reference, current, columns)
     keys = [*by, "feature"]
@@ -73,7 +74,7 @@ def ks_statistics(
     usable = totals.where((F.col("n_reference") >= 2) & (F.col("n_current") >= 2))
     joined = sums.join(sized(usable, "ks-totals"), keys).groupBy(*keys, "n_reference", "n_current").agg(distance.alias("statistic"))
     nr, nc = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
-    return joined.withColumn("p_value", kolmogorov_sf_udf(F.sqrt(nr * nc / (nr + nc)) * F.col("statistic")))
+    return joined.withColumn("p_value", ks_two_sample_sf_udf(nr, nc, F.col("statistic")))
 
 
 def data_drift_ks(

@@ -127,7 +127,8 @@ def _(t: Tables):
 
 # ---------------------------------------------------------------- drift
 
-_KS_TAIL = """CASE WHEN lam <= 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+# Above 10,000 values: the limiting tail at the corrected distance.
+_KS_LIMIT = """CASE WHEN lam <= 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
   lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0::DOUBLE * k * k * lam * lam))))) END"""
 
 
@@ -141,6 +142,7 @@ def _long_sql(by: str) -> str:
 
 
 def _ks_sql(by: str) -> str:
+    """The distance and its tail; to 10,000 values the share of lattice paths that touch the border, diagonal by diagonal."""
     keys = f"{by}, feature" if by else "feature"
     return f"""
 lo AS ({_long_sql(by + "," if by else "")}),
@@ -148,16 +150,27 @@ vc AS (SELECT {keys}, value, sum(1 - cur) AS r, sum(cur) AS c FROM lo GROUP BY {
 cu AS (SELECT *, sum(r) OVER (PARTITION BY {keys} ORDER BY value) AS fr, sum(c) OVER (PARTITION BY {keys} ORDER BY value)
   AS fc, sum(r) OVER (PARTITION BY {keys}) AS nr, sum(c) OVER (PARTITION BY {keys}) AS nc FROM vc),
 kd AS (SELECT {keys}, CAST(max(nr) AS DOUBLE) AS n_reference, CAST(max(nc) AS DOUBLE) AS n_current,
-  max(abs(CAST(fr AS DOUBLE) / nr - CAST(fc AS DOUBLE) / nc)) AS statistic FROM cu GROUP BY {keys}),
-kl AS (SELECT *, sqrt(n_reference * n_current / (n_reference + n_current)) * statistic AS lam FROM kd),
-ks AS (SELECT *, {_KS_TAIL} AS p_value FROM kl)"""
+  max(abs(CAST(fr AS DOUBLE) / nr - CAST(fc AS DOUBLE) / nc)) AS statistic,
+  CAST(max(nr) AS BIGINT) AS n, CAST(max(nc) AS BIGINT) AS m, CAST(max(abs(fr * nc - fc * nr)) AS BIGINT) AS reach
+  FROM cu GROUP BY {keys}),
+kl AS (SELECT *, x + 1 / (6 * sqrt(e)) + (x - 1) / (4 * e) AS lam FROM (SELECT *, sqrt(e) * statistic AS x
+  FROM (SELECT *, n_reference * n_current / (n_reference + n_current) AS e FROM kd))),
+kp AS (SELECT {keys}, n, m, reach, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS low, [0.0::DOUBLE] AS touched FROM kd
+    WHERE reach > 0 AND greatest(n, m) <= 10000
+  UNION ALL SELECT {keys}, n, m, reach, nk, nlow, list_transform(range(nlow, nhigh + 1), lambda i:
+    (i * coalesce(touched[i - low], 1.0) + (nk - i) * coalesce(touched[i - low + 1], 1.0)) / nk)
+  FROM (SELECT *, k + 1 AS nk, CAST(greatest(floor(((k + 1) * n - reach) / (n + m)) + 1, 0, k + 1 - m) AS BIGINT) AS nlow,
+    CAST(least(ceil(((k + 1) * n + reach) / (n + m)) - 1, k + 1, n) AS BIGINT) AS nhigh FROM kp WHERE k < n + m)),
+ks AS (SELECT kl.*, CASE WHEN greatest(kl.n, kl.m) > 10000 THEN {_KS_LIMIT} WHEN kl.reach = 0 THEN 1.0
+  ELSE coalesce(t.touched[1], 1.0) END AS p_value
+  FROM kl LEFT JOIN (SELECT {keys}, touched FROM kp WHERE k = n + m) t USING ({keys}))"""
 
 
 @query(
     "data_drift_ks",
     "event_type feature n_reference:i n_current:i statistic:6 p_value:6 is_drifted:b action",
     "drift_reference drift_current",
-    "WITH " + _ks_sql("event_type").lstrip() + " SELECT *, p_value < 0.05 AS is_drifted, CASE WHEN p_value < 0.01 THEN "
+    "WITH RECURSIVE " + _ks_sql("event_type").lstrip() + " SELECT *, p_value < 0.05 AS is_drifted, CASE WHEN p_value < 0.01 THEN "
     "'AUTO_RETRAIN' WHEN p_value < 0.05 THEN 'ALERT' ELSE 'OK' END AS action FROM ks",
 )
 def _(t: Tables):
@@ -203,7 +216,7 @@ def _(t: Tables):
     "serving_drift",
     "feature ks_statistic:6 ks_pvalue:6 ks_drift:b psi:6 psi_drift:b drift_detected:b",
     "drift_reference drift_current",
-    "WITH " + _ks_sql("").lstrip() + "," + _psi_sql(True, "") + " SELECT feature, statistic AS ks_statistic, "
+    "WITH RECURSIVE " + _ks_sql("").lstrip() + "," + _psi_sql(True, "") + " SELECT feature, statistic AS ks_statistic, "
     "p_value AS ks_pvalue, p_value < 0.05 AS ks_drift, psi, psi > 0.20 AS psi_drift, p_value < 0.05 OR psi > 0.20 "
     "AS drift_detected FROM ks JOIN ps USING (feature)",
 )
@@ -244,7 +257,7 @@ def _(t: Tables):
     "retrain_verdict",
     "model_id should_retrain:b reason consecutive_count:i concept_drift_statistic:6 data_drift_triggered:b features",
     "model_mape drift_reference drift_current",
-    "WITH " + _CONCEPT_SQL.lstrip() + "," + _ks_sql("event_type") + """,
+    "WITH RECURSIVE " + _CONCEPT_SQL.lstrip() + "," + _ks_sql("event_type") + """,
 sv AS (SELECT event_type AS model_id, string_agg(feature, ',' ORDER BY feature) AS features FROM ks WHERE p_value < 0.01
   GROUP BY 1),
 j AS (SELECT cd.*, coalesce(features, '') AS features, action = 'AUTO_RETRAIN' AS bc, features IS NOT NULL AS bd
@@ -306,7 +319,7 @@ def _(t: Tables):
     "monitoring_verdict",
     "model_id needs_retrain:b reasons next_step",
     "model_mape drift_reference drift_current",
-    "WITH " + _RELATIVE_SQL.lstrip() + "," + _ks_sql("event_type") + "," + _psi_sql(False, "event_type") + """,
+    "WITH RECURSIVE " + _RELATIVE_SQL.lstrip() + "," + _ks_sql("event_type") + "," + _psi_sql(False, "event_type") + """,
 kf AS (SELECT event_type, bool_or(p_value < 0.05) AS kd FROM ks GROUP BY 1),
 j AS (SELECT model_id, drifted, coalesce(kd, false) AS kd, coalesce(psi >= 0.1, false) AS pd FROM rl
   LEFT JOIN kf ON kf.event_type = model_id LEFT JOIN ps ON ps.event_type = model_id AND ps.feature = 'value')

@@ -152,10 +152,8 @@ def with_views(names: str, body: str) -> str:
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names.split())
     if not ctes:
         return body
-    joiner = "WITH " + ctes
     text = body.strip()
-    if text.upper().startswith("WITH RECURSIVE"):
-        raise ValueError("recursive bodies are not supported")
-    if text.upper().startswith("WITH"):
-        return joiner + ",\n" + text[4:].lstrip()
-    return joiner + "\n" + text
+    for word in ("WITH RECURSIVE", "WITH"):
+        if text.upper().startswith(word):
+            return f"{word} {ctes},\n{text[len(word) :].lstrip()}"
+    return f"WITH {ctes}\n{text}"
