@@ -736,21 +736,27 @@ u AS (SELECT *, coalesce(n, 0) >= 5 AS ok, CASE WHEN coalesce(n, 0) >= 5 THEN n
   sqrt(greatest(syy - slope * sxy, 0) / (n - 2) / sxx) AS se FROM f),
 w AS (SELECT *, CASE WHEN ok THEN abs(slope / se) END AS t,
   CASE WHEN ok THEN nu / (nu + (slope / se) * (slope / se)) END AS c2 FROM u),
+th AS (SELECT DISTINCT nu, 0.0::DOUBLE AS low, 4.0::DOUBLE AS high, 0 AS halved FROM u WHERE ok
+  UNION ALL SELECT nu, CASE WHEN tail > 0.05 THEN t ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE t END, halved + 1
+  FROM (SELECT *, {_T_TAIL_SQL} AS tail FROM (SELECT *, nu / (nu + t * t) AS c2
+  FROM (SELECT *, (low + high) / 2 AS t FROM th WHERE halved < 48)))),
+tq AS (SELECT nu, low AS t975 FROM th WHERE halved = 48),
 el AS (SELECT sku_id, CASE WHEN ok THEN slope ELSE -1.0 END AS elasticity, CASE WHEN ok THEN abs(slope) > 1 ELSE false END
     AS is_elastic, CASE WHEN ok THEN r2 ELSE 0 END AS r_squared, {_T_TAIL_SQL} AS p_value,
   CASE WHEN NOT ok THEN 0.30 WHEN slope < -1 THEN least(greatest(-1 / (slope + 1), 0.05), 2.0) ELSE 0.50 END
-    AS optimal_markup FROM w)"""
+    AS optimal_markup, CASE WHEN ok THEN slope - t975 * se ELSE {K.DEFAULT_ELASTICITY["ci_low"]} END AS ci_low,
+  CASE WHEN ok THEN slope + t975 * se ELSE {K.DEFAULT_ELASTICITY["ci_high"]} END AS ci_high FROM w LEFT JOIN tq USING (nu))"""
 
 
 _ELASTICITY_VIEWS = "fact_purchase_orders fact_cost_transactions"
-_ELASTICITY_COLUMNS = "sku_id:i elasticity:4 is_elastic:b r_squared:4 p_value:4 optimal_markup:4"
+_ELASTICITY_COLUMNS = "sku_id:i elasticity:4 is_elastic:b r_squared:4 p_value:4 optimal_markup:4 ci_low:4 ci_high:4"
 
 
 @query(
     "price_elasticity",
     _ELASTICITY_COLUMNS,
     _ELASTICITY_VIEWS,
-    "WITH " + _elasticity_sql("fact_purchase_orders").lstrip() + " SELECT * FROM el",
+    "WITH RECURSIVE " + _elasticity_sql("fact_purchase_orders").lstrip() + " SELECT * FROM el",
 )
 def _(t: Tables):
     return K.price_elasticity(t["fact_cost_transactions"], t["fact_purchase_orders"], digits=None)
@@ -763,7 +769,7 @@ _LATE_ORDERS = "SELECT * FROM fact_purchase_orders WHERE delivery_status = 'late
     "price_elasticity_by_source",
     _ELASTICITY_COLUMNS,
     _ELASTICITY_VIEWS,
-    "WITH lo AS (" + _LATE_ORDERS + ")," + _elasticity_sql("lo") + " SELECT * FROM el",
+    "WITH RECURSIVE lo AS (" + _LATE_ORDERS + ")," + _elasticity_sql("lo") + " SELECT * FROM el",
 )
 def _(t: Tables):
     late = t["fact_purchase_orders"].where(F.col("delivery_status") == "late")
@@ -774,10 +780,12 @@ def _(t: Tables):
     "price_elasticity_batch",
     _ELASTICITY_COLUMNS,
     _ELASTICITY_VIEWS + " fact_quality_events",
-    "WITH " + _elasticity_sql("fact_purchase_orders").lstrip() + ", l AS (SELECT DISTINCT CASE WHEN defect_rate > 0.09 "
+    "WITH RECURSIVE " + _elasticity_sql("fact_purchase_orders").lstrip() + ", l AS (SELECT DISTINCT CASE WHEN defect_rate > 0.09 "
     "THEN -sku_id ELSE sku_id END AS sku_id FROM fact_quality_events) SELECT l.sku_id, coalesce(elasticity, -1.0) AS "
     "elasticity, coalesce(is_elastic, false) AS is_elastic, coalesce(r_squared, 0) AS r_squared, "
-    "coalesce(p_value, 1) AS p_value, coalesce(optimal_markup, 0.30) AS optimal_markup "
+    "coalesce(p_value, 1) AS p_value, coalesce(optimal_markup, 0.30) AS optimal_markup, "
+    f"CASE WHEN el.sku_id IS NULL THEN {K.DEFAULT_ELASTICITY['ci_low']} ELSE ci_low END AS ci_low, "
+    f"CASE WHEN el.sku_id IS NULL THEN {K.DEFAULT_ELASTICITY['ci_high']} ELSE ci_high END AS ci_high "
     "FROM l LEFT JOIN el ON el.sku_id = l.sku_id",
 )
 def _(t: Tables):
@@ -792,7 +800,7 @@ def _(t: Tables):
     "price_sensitivity_curve",
     "sku_id:i price_multiplier:3 price:2 estimated_demand:2 estimated_revenue:2 estimated_profit:2",
     _ELASTICITY_VIEWS,
-    "WITH " + _elasticity_sql("fact_purchase_orders").lstrip() + """,
+    "WITH RECURSIVE " + _elasticity_sql("fact_purchase_orders").lstrip() + """,
 m AS (SELECT sku_id, avg(total_unit_cost) AS p, avg(volume) AS q FROM fact_cost_transactions GROUP BY 1),
 c AS (SELECT el.sku_id, elasticity, coalesce(p, 10.0) AS p, coalesce(q, 100.0) AS q FROM el LEFT JOIN m ON m.sku_id = el.sku_id),
 g AS (SELECT *, CASE WHEN i = 19 THEN 2.0 ELSE 0.5 + CAST(1.5 AS DOUBLE) / 19 * i END AS x FROM c, range(0, 20) t(i)),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendwright.operators import fairness as Y
 from spendwright.operators import quality as Q
 from spendwright.plans import resampling_sql as R
 from spendwright.plans.registry import query
-from spendwright.sources.contracts import Rule, choice, number, text, whole
+from spendwright.sources.contracts import CONTRACTS, Rule, choice, number, text, whole
 from spendwright.sources.views import Tables
 
 # ---------------------------------------------------------------- contracts
@@ -101,6 +104,70 @@ def _(t: Tables):
     return Q.validate_all(tables, {"orders": CONTRACT, "lineitem": ITEM_CONTRACT})
 
 
+# The declared contracts of the star schema over its views, whose ids are numbers and which lack some columns.
+_STAR = ("dim_product", "dim_supplier", "dim_plant", "fact_cost_transactions", "fact_supplier_quotes",
+         "fact_cost_reduction_actions", "fact_commodity_prices", "fact_purchase_orders", "fact_quality_events")
+_ABSENT = {
+    "dim_product": "primary_supplier",
+    "dim_supplier": "quality_score on_time_delivery_pct lead_time_days price_premium",
+    "dim_plant": "region lat lon capacity_utilization",
+    "fact_cost_transactions": "transaction_id",
+    "fact_supplier_quotes": "quote_id moq valid_until",
+    "fact_cost_reduction_actions": "sku_id",
+    "fact_commodity_prices": "pct_change volatility_30d",
+    "fact_purchase_orders": "plant_id",
+    "fact_quality_events": "event_id disposition",
+}
+
+
+def _rule_sql(name: str, rule: Rule) -> list[tuple[str, str]]:
+    """(check, number of failures) of one declared column."""
+    value = f"TRY_CAST({name} AS {'VARCHAR' if rule.dtype == 'string' else rule.dtype})"
+    broken = [("type", f"{name} IS NOT NULL AND {value} IS NULL")]
+    if not rule.nullable:
+        broken.append(("not_null", f"{name} IS NULL" + (f" OR isnan({value})" if rule.dtype == "double" else "")))
+    if rule.prefix is not None:
+        broken.append(("prefix", f"NOT starts_with({value}, '{rule.prefix}')"))
+    if rule.isin is not None:
+        broken.append(("isin", f"{value} NOT IN ({', '.join(repr(v) for v in rule.isin)})"))
+    if rule.gt is not None:
+        broken.append(("gt", f"NOT {value} > {rule.gt}"))
+    if rule.ge is not None:
+        broken.append(("ge", f"NOT {value} >= {rule.ge}"))
+    if rule.between is not None:
+        broken.append(("between", f"NOT {value} BETWEEN {rule.between[0]} AND {rule.between[1]}"))
+    counts = [(check, f"count(*) FILTER ({condition})") for check, condition in broken]
+    return counts + ([("unique", f"count(*) - count(DISTINCT {name}) - coalesce(max(CAST({name} IS NULL AS INT)), 0)")] if rule.unique else [])
+
+
+def _star_sql() -> str:
+    parts = []
+    for table in _STAR:
+        absent = _ABSENT[table].split()
+        facts = [
+            f"{{'column': '{name}', 'check': '{check}', 'failures': {count}}}"
+            for name, rule in CONTRACTS[table].items()
+            for check, count in ([("present", "count(*)")] if name in absent else _rule_sql(name, rule))
+        ]
+        parts.append(f"SELECT '{table}' AS \"table\", unnest([{', '.join(facts)}], recursive := true) FROM {table}")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("star_contracts", "table column check failures:i", " ".join(_STAR), _star_sql())
+def _(t: Tables):
+    return reduce(DataFrame.unionByName, [Q.contract_check(t[n], CONTRACTS[n], n) for n in _STAR])
+
+
+@query(
+    "star_contract_verdict",
+    "table valid:b failures:i",
+    " ".join(_STAR),
+    f'SELECT "table", sum(failures) = 0 AS valid, sum(failures) AS failures FROM ({_star_sql()}) GROUP BY 1',
+)
+def _(t: Tables):
+    return Q.validate_all({n: t[n] for n in _STAR}, CONTRACTS)
+
+
 # ---------------------------------------------------------------- expectations
 
 _SHORT = {
