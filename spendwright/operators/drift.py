@@ -196,18 +196,22 @@ def concept_drift(
     threshold: float = MAPE_THRESHOLD,
     consecutive_days: int = CONSECUTIVE_DAYS,
 ) -> DataFrame:
-    """Length of the trailing run of high errors per model, with the verdict."""
+    """Length of the trailing run of high errors per model, with the verdict.
+
+    An error that is null or NaN is not high and left out of the mean.
+    """
+    high = F.coalesce((F.col("mape") > threshold) & ~F.isnan("mape"), F.lit(False))
     last_ok = history.groupBy(model).agg(
-        F.max(F.when(F.col("mape") <= threshold, F.col(ts))).alias("_ok"), F.count(F.lit(1)).alias("history_length")
+        F.max(F.when(~high, F.col(ts))).alias("_ok"), F.count(F.lit(1)).alias("history_length")
     )
     # One row per model on the right; rows before the run are dropped early.
     last_ok = sized(last_ok, "last-ok")
     run = history.join(last_ok.select(model, "_ok"), model).where(F.col("_ok").isNull() | (F.col(ts) > F.col("_ok")))
     run = run.groupBy(model).agg(F.count(F.lit(1)).alias("_run"))
     # The row-number limit is applied before the shuffle (window group limit).
-    newest = Window.partitionBy(model).orderBy(F.desc(ts))
+    newest = Window.partitionBy(model).orderBy(F.desc(ts), F.desc(F.nanvl("mape", F.lit(None))))
     recent = history.withColumn("_i", F.row_number().over(newest)).where(F.col("_i") <= consecutive_days)
-    recent = recent.groupBy(model).agg(F.avg("mape").alias("statistic"))
+    recent = recent.groupBy(model).agg(F.avg(F.nanvl("mape", F.lit(None))).alias("statistic"))
     joined = last_ok.join(recent, model).join(run, model, "left")
     n = F.coalesce("_run", F.lit(0))
     return joined.select(

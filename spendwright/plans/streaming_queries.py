@@ -69,8 +69,7 @@ def _(t: Tables):
     history = t["model_mape"]
     path = _in_three_parts(history, "model_id", "checks")
     checks = S.parquet_stream(t.spark, f"{path}/*", history.schema, files_per_batch=FILES_PER_BATCH)
-    drift = S.stream_concept_drift(checks, threshold=MQ.THRESHOLD, consecutive_days=MQ.DAYS)
-    return S.latest_batch(S.drain(drift, "update", "concept"), ["model_id"])
+    return S.stream_concept_drift(checks, threshold=MQ.THRESHOLD, consecutive_days=MQ.DAYS)
 
 
 @query(

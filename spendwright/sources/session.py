@@ -86,6 +86,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path of the shared folder; none if it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(target) if s.isDirectory()]
+
+
 def move(spark: SparkSession, source: str, target: str) -> bool:
     """Give a finished folder its final name, unless another job has made that already; whether it was done."""
     paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]

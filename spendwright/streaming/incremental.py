@@ -9,19 +9,19 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spendwright.operators.drift import CONSECUTIVE_DAYS, MAPE_THRESHOLD
 from spendwright.operators.experiment import arm_moments, msprt
-from spendwright.sources.session import delete, new_path
+from spendwright.sources.session import new_path
+from spendwright.streaming.keyed import KeyedTable
 
 # Ship these helpers inside the task, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,40 +53,15 @@ def drain(stream: DataFrame, mode: str, label: str) -> DataFrame:
 
 
 def upsert(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Process all available input of an update-mode stream into a table with one row per key.
+    """Process all available input of an update-mode stream into a new table with one row per key.
 
-    Every micro-batch writes the next version of the table: the rows of the
-    version before whose keys it does not have, and its own. The versions
-    before the last two are deleted, so neither the table nor its folder grows
-    with the history. A repeated micro-batch overwrites its own version.
+    A micro-batch rewrites only the buckets of its keys. To go on with a table
+    in a later session, keep a :class:`KeyedTable` and its checkpoint.
     """
     spark = stream.sparkSession
-    path, checkpoint = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
-    schema, written = stream.schema, []
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        target, earlier = f"{path}/{BATCH}={batch_id}", [v for v in written if v < batch_id]
-        if earlier:
-            before = batch.sparkSession.read.schema(schema).parquet(f"{path}/{BATCH}={max(earlier)}")
-            batch.write.mode("overwrite").parquet(f"{path}-rows")
-            batch = batch.sparkSession.read.schema(schema).parquet(f"{path}-rows")
-            new = batch.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
-            same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]
-            table = before.join(new, reduce(Column.__and__, same), "left_anti").unionByName(batch)
-        else:
-            table = batch
-        table.write.mode("overwrite").parquet(target)
-        delete(spark, f"{path}-rows")
-        written.append(batch_id)
-        for old in earlier[:-1]:
-            delete(spark, f"{path}/{BATCH}={old}")
-            written.remove(old)
-
-    writer = stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    if not written:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{BATCH}={max(written)}")
+    table = KeyedTable(spark, new_path(spark, label), stream.schema, keys)
+    table.absorb(stream, new_path(spark, f"{label}-checkpoint"))
+    return table.rows()
 
 
 def table_glob(folder: str, name: str) -> str:
@@ -145,47 +120,86 @@ def stream_msprt(
 # ---------------------------------------------------------------- concept drift
 
 
-class _ErrorRun(StatefulProcessor):
-    """Length of the current run of high errors and the last errors."""
-
-    def __init__(self, model: str, ts: str, threshold: float, consecutive_days: int, reset: str | None):
-        self.model, self.ts, self.threshold = model, ts, threshold
-        self.days, self.reset = consecutive_days, reset
+_PIECES = T.StructType(
+    [
+        T.StructField("at", T.ArrayType(T.LongType())),
+        T.StructField("length", T.ArrayType(T.LongType())),
+        T.StructField("low", T.ArrayType(T.BooleanType())),
+        T.StructField("reset", T.ArrayType(T.BooleanType())),
+        T.StructField("recent", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    ]
+)
+
+
+def _pieces(at: np.ndarray, errors: np.ndarray, reset: np.ndarray, threshold: float, keep: int) -> dict:
+    """Rows summed up per time: count, any error that is not high, any reset, the ``keep`` largest errors."""
+    order = np.lexsort((-errors, at))  # missing errors last
+    at, errors, reset = at[order], errors[order], reset[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    ends = np.r_[starts[1:], len(at)]
+    lows, resets = np.logical_or.reduceat(~(errors > threshold), starts), np.logical_or.reduceat(reset, starts)
+    return {
+        int(at[s]): (int(e - s), bool(low), bool(cleared), errors[s : min(e, s + keep)].tolist())
+        for s, e, low, cleared in zip(starts, ends, lows, resets)
+    }
+
+
+def _join_times(one: tuple, other: tuple, keep: int) -> tuple:
+    """Summaries of the same time, in either order."""
+    errors = np.array([*one[3], *other[3]])
+    return (one[0] + other[0], one[1] or other[1], one[2] or other[2], errors[np.argsort(-errors)][:keep].tolist())
+
+
+def _fold(pieces: dict, keep: int) -> tuple[int, int, bool, list[float]]:
+    """Length since the last reset, trailing run of high errors, whether there was a reset, and the last errors, newest first."""
+    length = run = 0
+    cleared, broken, recent = False, False, []
+    for at in sorted(pieces, reverse=True):
+        n, low, cleared, errors = pieces[at]
+        length += n
+        broken = broken or low
+        run += 0 if broken else n
+        recent += errors[: keep - len(recent)]
+        if cleared:
+            break
+    return length, run, cleared, recent
+
+
+class _ErrorSpan(StatefulProcessor):
+    """Summary of a model's checks in one span of time, from checks in any order."""
+
+    def __init__(self, model: str, threshold: float, keep: int):
+        self.model, self.threshold, self.keep = model, threshold, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType(
-            [
-                T.StructField("run", T.LongType()),
-                T.StructField("length", T.LongType()),
-                T.StructField("recent", T.ArrayType(T.DoubleType())),
-            ]
-        )
-        self.state = handle.getValueState("run", schema)
+        self.state = handle.getValueState("pieces", _PIECES)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run, length, recent = self.state.get() if self.state.exists() else (0, 0, [])
-        run, length, recent = int(run), int(length), list(recent)
-        wanted = [self.ts, "mape", *([self.reset] if self.reset else [])]
-        batch = pd.concat([part[wanted] for part in rows]).sort_values(self.ts, kind="stable")
-        errors = batch["mape"].to_numpy(dtype=float)
-        if self.reset:
-            cleared = np.flatnonzero(batch[self.reset].fillna(False).to_numpy(dtype=bool))
-            if len(cleared):
-                run, length, recent, errors = 0, 0, [], errors[cleared[-1] :]
-        low = np.flatnonzero(~(errors > self.threshold))
-        run = len(errors) - 1 - int(low[-1]) if len(low) else run + len(errors)
-        length += len(errors)
-        recent = [*recent, *errors[-self.days :].tolist()][-self.days :]
-        self.state.update((run, length, recent))
-        drifted = run >= self.days
+        pieces = {}
+        if self.state.exists():
+            at, *facts = self.state.get()
+            pieces = {int(a): (int(n), low, cleared, list(e)) for a, n, low, cleared, e in zip(at, *facts)}
+        for part in rows:
+            new = _pieces(
+                part["at_micros"].to_numpy(dtype=np.int64),
+                part["error"].to_numpy(dtype=float),
+                part["cleared"].to_numpy(dtype=bool),
+                self.threshold,
+                self.keep,
+            )
+            for at, piece in new.items():
+                pieces[at] = _join_times(pieces[at], piece, self.keep) if at in pieces else piece
+        times = sorted(pieces)
+        self.state.update((times, *[[pieces[at][i] for at in times] for i in range(4)]))
+        length, run, cleared, recent = _fold(pieces, self.keep)
         yield pd.DataFrame(
             {
                 self.model: [key[0]],
-                "statistic": [sum(recent) / len(recent)],
-                "consecutive_count": [run],
-                "history_length": [length],
-                "is_drifted": [drifted],
-                "action": ["AUTO_RETRAIN" if drifted else "ALERT" if run else "OK"],
+                "span": [key[1]],
+                "length": [length],
+                "run": [run],
+                "reset": [cleared],
+                "recent": [recent],
             }
         )
 
@@ -193,32 +207,98 @@ class _ErrorRun(StatefulProcessor):
         pass
 
 
-def stream_concept_drift(
+_NO_TIME = -(2**62)
+
+
+def stream_error_spans(
     checks: DataFrame,
     model: str = "model_id",
     ts: str = "ds",
     threshold: float = MAPE_THRESHOLD,
     consecutive_days: int = CONSECUTIVE_DAYS,
     reset_before: str | None = None,
+    span: str = "day",
 ) -> DataFrame:
-    """The error-run verdict per model after every micro-batch.
-
-    State per model is a run length and the last few errors. Checks must
-    arrive in time order across micro-batches; inside one they are sorted.
-    Bound a micro-batch by files: one model's checks of it meet in one task.
+    """Error runs per model and span of time, updated in place whatever the order the checks arrive in.
+
+    A span's summary (length, trailing run, reset, last errors) joins with
+    that of the next span like a sum, so spans are kept apart: a late check
+    changes its own span only, and the checks of one model are shared between
+    tasks by span. State is one entry per distinct time of a span; choose a
+    span (a unit of ``date_trunc``) with few thousand of them. Checks without
+    a time are one span before all others. An error that is null or NaN is
+    not high. Of checks at the same time one that is not high ends the run,
+    as in the batch operator.
     """
+    at = F.col(ts).cast("timestamp")
+    start = F.coalesce(F.unix_micros(F.date_trunc(span, at)), F.lit(_NO_TIME))
+    cleared = F.coalesce(F.col(reset_before), F.lit(False)) if reset_before else F.lit(False)
+    rows = checks.select(
+        F.col(model),
+        start.alias("span"),
+        F.coalesce(F.unix_micros(at), F.lit(_NO_TIME)).alias("at_micros"),
+        F.coalesce(F.col("mape").cast("double"), F.lit(float("nan"))).alias("error"),
+        cleared.alias("cleared"),
+    )
     schema = T.StructType(
         [
             checks.schema[model],
-            T.StructField("statistic", T.DoubleType()),
-            T.StructField("consecutive_count", T.LongType()),
-            T.StructField("history_length", T.LongType()),
-            T.StructField("is_drifted", T.BooleanType()),
-            T.StructField("action", T.StringType()),
+            T.StructField("span", T.LongType()),
+            T.StructField("length", T.LongType()),
+            T.StructField("run", T.LongType()),
+            T.StructField("reset", T.BooleanType()),
+            T.StructField("recent", T.ArrayType(T.DoubleType())),
         ]
     )
-    processor = _ErrorRun(model, ts, threshold, consecutive_days, reset_before)
-    return checks.groupBy(model).transformWithStateInPandas(processor, schema, "Update", "None")
+    processor = _ErrorSpan(model, threshold, consecutive_days)
+    return rows.groupBy(model, "span").transformWithStateInPandas(processor, schema, "Update", "None")
+
+
+def error_run_verdict(spans: DataFrame, model: str = "model_id", consecutive_days: int = CONSECUTIVE_DAYS) -> DataFrame:
+    """The verdict per model from its spans (the keyed table of :func:`stream_error_spans`).
+
+    One window over a model's spans, newest first, and one aggregation on the
+    same partitioning.
+    """
+    newer = Window.partitionBy(model).orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = spans.select(
+        "*",
+        F.coalesce(F.sum("length").over(newer), F.lit(0)).alias("_newer"),
+        F.coalesce(F.bool_or(F.col("run") < F.col("length")).over(newer), F.lit(False)).alias("_broken"),
+        F.coalesce(F.bool_or("reset").over(newer), F.lit(False)).alias("_cleared"),
+    ).where(~F.col("_cleared"))
+    near = F.collect_list(F.when(F.col("_newer") < consecutive_days, F.struct(-F.col("span"), "recent")))
+    last = F.slice(F.flatten(F.transform(F.array_sort("_near"), lambda s: s["recent"])), 1, consecutive_days)
+    known = F.filter("_last", lambda e: e.isNotNull() & ~F.isnan(e))
+    total = F.aggregate(known, F.lit(0.0), lambda a, e: a + e)
+    per_model = seen.groupBy(model).agg(
+        F.sum(F.when(F.col("_broken"), 0).otherwise(F.col("run"))).alias("consecutive_count"),
+        F.sum("length").alias("history_length"),
+        near.alias("_near"),
+    )
+    n = F.col("consecutive_count")
+    return per_model.withColumn("_last", last).select(
+        model,
+        F.when(F.size(known) > 0, total / F.size(known)).alias("statistic"),
+        "consecutive_count",
+        "history_length",
+        (n >= consecutive_days).alias("is_drifted"),
+        F.when(n >= consecutive_days, "AUTO_RETRAIN").when(n > 0, "ALERT").otherwise("OK").alias("action"),
+    )
+
+
+def stream_concept_drift(
+    checks: DataFrame,
+    model: str = "model_id",
+    ts: str = "ds",
+    threshold: float = MAPE_THRESHOLD,
+    consecutive_days: int = CONSECUTIVE_DAYS,
+    reset_before: str | None = None,
+    span: str = "day",
+) -> DataFrame:
+    """The error-run verdict per model after all available checks, in whatever order they arrive."""
+    spans = stream_error_spans(checks, model, ts, threshold, consecutive_days, reset_before, span)
+    return error_run_verdict(upsert(spans, [model, "span"], "error-spans"), model, consecutive_days)
 
 
 # ---------------------------------------------------------------- snapshot

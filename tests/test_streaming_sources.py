@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendwright.functions.hashing import standard_normal
 from spendwright.operators import drift as D
@@ -12,6 +14,7 @@ from spendwright.operators import features as X
 from spendwright.sources import catalog, files
 from spendwright.sources.session import drop_intermediates, materialise, new_path, work_dir
 from spendwright.streaming import incremental as S
+from spendwright.streaming.keyed import KeyedTable
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -69,23 +72,89 @@ def test_stream_without_input_is_empty(spark, tmp_path):
     assert S.upsert(stream(), ["unique_id"], "n").columns == ["unique_id", "ds", "y"]
 
 
-def test_stream_concept_drift_keeps_state(spark, tmp_path):
-    values = {"a": [0.3] * 9, "b": [0.3, 0.1, 0.3] * 3, "c": [0.1] * 9}
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_stream_concept_drift_in_any_order(spark, tmp_path, order):
+    values = {"a": [0.3] * 9, "b": [0.3, 0.1, 0.3] * 3, "c": [0.1] * 9, "n": [0.3] * 4 + [None] + [0.3, 0.4, float("nan"), 0.5]}
     rows = [(m, DAY0 + dt.timedelta(days=i), v, m == "a" and i == 4) for m, vs in values.items() for i, v in enumerate(vs)]
+    rows += [("b", DAY0 + dt.timedelta(days=8), 0.2, None), ("a", None, 0.3, False)]
     df = spark.createDataFrame(rows, "model_id string, ds date, mape double, reset boolean")
-    path = _write_batches(df, "ds", [DAY0 + dt.timedelta(days=3), DAY0 + dt.timedelta(days=6)], tmp_path)
+    for i in order:  # every micro-batch has days of all the history
+        part = df.where(F.pmod(F.xxhash64("model_id", "ds", "mape"), F.lit(3)) == i)
+        part.coalesce(1).write.parquet(f"{tmp_path}/part={i}")
 
     def run(reset):
-        stream = S.parquet_stream(spark, path, df.schema, files_per_batch=1)
-        landed = S.drain(S.stream_concept_drift(stream, reset_before=reset), "update", "c")
-        return {r.model_id: r for r in S.latest_batch(landed, ["model_id"]).collect()}
+        stream = S.parquet_stream(spark, f"{tmp_path}/*", df.schema, files_per_batch=1)
+        return {r.model_id: r for r in S.stream_concept_drift(stream, reset_before=reset).collect()}
 
     got = run(None)
     for want in D.concept_drift(df).collect():
-        assert got[want.model_id].consecutive_count == want.consecutive_count
-        assert got[want.model_id].action == want.action
         assert got[want.model_id].statistic == pytest.approx(want.statistic)
-    assert run("reset")["a"].consecutive_count == 5
+        assert got[want.model_id].asDict() == {**want.asDict(), "statistic": got[want.model_id].statistic}
+    cleared = run("reset")["a"]
+    assert (cleared.consecutive_count, cleared.history_length, cleared.action) == (5, 5, "ALERT")
+
+
+def test_error_spans_of_many_times_equal_a_walk(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"m{i % 3}", base + dt.timedelta(minutes=int(m)), float(e), bool(r)) for i, (m, e, r) in enumerate(zip(
+        rng.permutation(20_000)[:900], rng.choice([0.1, 0.3, 0.4], 900, p=[0.03, 0.5, 0.47]), rng.random(900) < 0.004))]
+    df = spark.createDataFrame(rows, "model_id string, ds timestamp, mape double, reset boolean")
+    df.repartition(4).write.parquet(f"{tmp_path}/t")
+    for reset in (None, "reset"):
+        stream = S.parquet_stream(spark, f"{tmp_path}/t", df.schema, files_per_batch=1)
+        got = {r.model_id: r for r in S.stream_concept_drift(stream, reset_before=reset).collect()}
+        for model in ("m0", "m1", "m2"):
+            run, seen = 0, []
+            for _, _, error, cleared in sorted((r for r in rows if r[0] == model), key=lambda r: r[1]):
+                if reset and cleared:
+                    run, seen = 0, []
+                run, seen = (run + 1 if error > 0.2 else 0), [*seen, error]
+            assert (got[model].consecutive_count, got[model].history_length) == (run, len(seen))
+            assert got[model].statistic == pytest.approx(np.mean(seen[-7:]))
+
+
+def _keyed(spark, path):
+    return KeyedTable(spark, str(path), T._parse_datatype_string("id int, v string"), ["id"], buckets=8)
+
+
+def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
+    want = {i: "a" for i in range(200)} | {None: "a"}
+    table = _keyed(spark, tmp_path)
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id int, v string")
+    assert table.rows().count() == 0 and table.lookup(frame({3: ""})).first().v is None
+    assert table.merge(frame(want), 0) == list(range(8))
+    for version, change in enumerate(({5: "b"}, {5: "c", 900: "c"}, {}, {None: "d", 7: None}), 1):
+        before = table.manifest()[0]
+        again = _keyed(spark, tmp_path)  # a restarted driver knows the folder only
+        touched = again.merge(frame(change), version)
+        again.merge(frame(change), version)  # and may repeat its last micro-batch
+        assert len(touched) <= len(change)
+        assert {b for b, v in again.manifest()[0].items() if before[b] != v} == set(touched)
+        want |= change
+        assert {r.id: r.v for r in table.rows().collect()} == want
+    assert len(table.versions()) == 2
+    kept = {f.parent for f in tmp_path.glob("rows/*/*/*.parquet")}
+    assert len(kept) <= 8 + 2  # the newest version and what the one before it still needs
+    looked = table.lookup(frame({5: "", 77777: "", None: "", 7: ""}))
+    assert {r.id: r.v for r in looked.collect()} == {5: "c", 77777: None, None: "d", 7: None}
+    assert len(table.lookup(frame({5: ""})).inputFiles()) <= 2
+    with pytest.raises(ValueError):
+        KeyedTable(spark, str(tmp_path), table.schema, ["none"])
+
+
+def test_keyed_table_goes_on_after_a_restart(spark, tmp_path):
+    features = spark.createDataFrame([(u, DAY0 + dt.timedelta(days=i), float(u + i)) for u in range(9) for i in range(6)],
+                                     "unique_id int, ds date, y double")
+    for i in range(3):
+        features.where((F.dayofmonth("ds") - 1) % 3 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={i}")
+        # a new table and stream object every time: only the folders go on
+        stream = S.stream_latest_snapshot(S.parquet_stream(spark, f"{tmp_path}/in/*", features.schema, files_per_batch=1))
+        table = KeyedTable(spark, f"{tmp_path}/table", stream.schema, ["unique_id"], buckets=4)
+        table.absorb(stream, f"{tmp_path}/checkpoint")
+    assert len(table.versions()) == 2 and max(table.versions()) == 2
+    want = X.latest_snapshot(features).select("unique_id", "ds", "y")
+    assert sorted(map(tuple, table.rows().select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_stream_snapshot(spark, tmp_path):
