@@ -118,8 +118,15 @@ def training_slice(
     ids: DataFrame | Sequence | None = None,
     start: dt.date | str | None = None,
     end: dt.date | str | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of the listed series inside an inclusive date range."""
+    """Rows of the listed series inside an inclusive date range and, if given, on the days of a table.
+
+    Over a store that is partitioned by day the range prunes its folders when
+    the query is planned, the table of days (column ``ds``) when it runs.
+    """
+    if days is not None:
+        features = features.join(days.select("ds"), "ds", "left_semi")
     if start is not None:
         features = features.where(F.col("ds") >= F.lit(start).cast("date"))
     if end is not None:

@@ -10,7 +10,10 @@ from spendwright.operators import audit as A
 from spendwright.operators import drift as D
 from spendwright.operators import features as X
 from spendwright.plans.registry import query
+from spendwright.sources import files
+from spendwright.sources.session import new_path
 from spendwright.sources.views import Tables
+from spendwright.streaming.keyed import KeyedTable
 
 # ---------------------------------------------------------------- features
 
@@ -110,8 +113,46 @@ def _(t: Tables):
 )
 def _(t: Tables):
     buyers = t["events"].where("event_type = 'purchase'").select(F.col("user_id").alias("unique_id"))
+    return X.training_slice(_feature_store(t), buyers, dt.date(2024, 1, 8), dt.date(2024, 1, 21))
+
+
+def _feature_store(t: Tables):
+    """The features written by day and read back."""
     features = X.lag_rolling_features(t["series"])
-    return X.training_slice(features, buyers, dt.date(2024, 1, 8), dt.date(2024, 1, 21))
+    path = new_path(t.spark, "feature-store")
+    files.write_features(features, path)
+    return files.read_features(t.spark, path, features.schema)
+
+
+@query(
+    "training_days",
+    f"unique_id:i ds:d y:4 {_LAG_COLUMNS}",
+    "series",
+    "WITH f AS (" + _rolling_sql("series") + ") SELECT * FROM f WHERE ds IN (SELECT CAST(ts AS DATE) FROM events "
+    "GROUP BY 1 HAVING max(value) > (SELECT avg(m) FROM (SELECT max(value) AS m FROM events GROUP BY CAST(ts AS DATE))))",
+)
+def _(t: Tables):
+    peaks = t["events"].groupBy(F.to_date("ts").alias("ds")).agg(F.max("value").alias("peak"))
+    days = peaks.where(F.col("peak") > peaks.agg(F.avg("peak")).scalar())
+    return X.training_slice(_feature_store(t), days=days)
+
+
+@query(
+    "feature_lookup",
+    f"unique_id:i ds:d y:4 {_LAG_COLUMNS}",
+    "series",
+    "WITH f AS (" + _rolling_sql("series") + "), r AS (SELECT *, row_number() OVER (PARTITION BY unique_id "
+    "ORDER BY ds DESC) AS i FROM f), b AS (SELECT user_id FROM events WHERE event_type = 'purchase'), "
+    "ids AS (SELECT user_id AS id FROM b UNION SELECT -user_id FROM b) "
+    "SELECT ids.id AS unique_id, r.* EXCLUDE (unique_id) FROM ids LEFT JOIN r ON ids.id = r.unique_id AND r.i = 1",
+)
+def _(t: Tables):
+    """The newest features of listed series out of the keyed table; half of the ids are not in it."""
+    newest = X.latest_snapshot(X.lag_rolling_features(t["series"]))
+    table = KeyedTable(t.spark, new_path(t.spark, "online"), newest.schema, ["unique_id"])
+    table.merge(newest, 0)
+    buyers = t["events"].where("event_type = 'purchase'")
+    return table.lookup(buyers.select(F.explode(F.array("user_id", -F.col("user_id"))).alias("unique_id")))
 
 
 @query(

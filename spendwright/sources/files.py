@@ -57,6 +57,14 @@ def read_audit(spark: SparkSession, path: str, schema: T.StructType = AUDIT_SCHE
 def write_features(features: DataFrame, path: str) -> None:
     """Features as Parquet, one folder per day so date ranges prune files.
 
-    The rebalance hint groups a day's rows into few files and splits big days.
+    The rebalance hint groups a day's rows into few files and splits big days;
+    inside a file rows are sorted by series, so the statistics of its row
+    groups prune listed ids.
     """
-    features.hint("rebalance", "ds").write.mode("overwrite").partitionBy("ds").parquet(path)
+    rows = features.hint("rebalance", "ds").sortWithinPartitions("ds", "unique_id")
+    rows.write.mode("overwrite").partitionBy("ds").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Written features with their declared columns; a condition on the day reads its folders only."""
+    return spark.read.schema(schema).parquet(path)

@@ -93,6 +93,21 @@ def parquet_stream(spark: SparkSession, folder: str, schema: T.StructType, file_
 # ---------------------------------------------------------------- sequential test
 
 
+def drop_repeats(stream: DataFrame, event_id: str, horizon: str | None = None) -> DataFrame:
+    """The first arrival of every event id.
+
+    Without a horizon the state store keeps every id for ever. With one (an
+    interval such as ``"7 days"``) an id is forgotten that long after it
+    arrived, so state is bounded by the ids of one horizon. The clock is the
+    arrival, not the time in the row: a row is never late, however old it is.
+    A repeat that arrives after the horizon counts again.
+    """
+    if horizon is None:
+        return stream.dropDuplicates([event_id])
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark([event_id]).drop("_arrived")
+
+
 def stream_msprt(
     observations: DataFrame,
     metric: str,
@@ -103,17 +118,15 @@ def stream_msprt(
     event_id: str | None = None,
     tau_sq: float = 1.0,
     alpha: float = 0.05,
+    horizon: str | None = None,
 ) -> DataFrame:
     """The sequential test after every micro-batch, one row per experiment.
 
     State is the built-in count, mean and variance per arm. With an event id,
-    repeats are dropped first, however far apart they arrive: the state store
-    keeps every id and no row counts as late. Where only near repeats occur,
-    leave ``event_id`` out and deduplicate within a watermark beforehand.
+    repeats are dropped first: those that arrive within the horizon, or
+    without one, however far apart they arrive (see :func:`drop_repeats`).
     """
-    rows = observations
-    if event_id:
-        rows = rows.dropDuplicates([event_id])
+    rows = drop_repeats(observations, event_id, horizon) if event_id else observations
     return msprt(arm_moments(rows, metric, arm, control, treatment, by), tau_sq, alpha)
 
 

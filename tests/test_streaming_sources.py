@@ -188,14 +188,47 @@ def test_csv_fallback_names(spark, tmp_path):
         files.read_csv(spark, str(tmp_path), ["third"])
 
 
+def _files_read(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().get("numFiles").get().value()
+
+
 def test_features_prune_by_day(spark, tmp_path):
     rows = [(u, DAY0 + dt.timedelta(days=i), 1.0) for u in range(3) for i in range(4)]
-    files.write_features(spark.createDataFrame(rows, "unique_id int, ds date, y double"), str(tmp_path / "f"))
-    back = spark.read.parquet(str(tmp_path / "f"))
-    cut = X.training_slice(back, None, DAY0, DAY0)
-    assert cut.count() == 3
-    plan = cut._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ds" in plan
+    written = spark.createDataFrame(rows, "unique_id int, ds date, y double")
+    files.write_features(written, str(tmp_path / "f"))
+    back = files.read_features(spark, str(tmp_path / "f"), written.schema)
+    assert sorted(map(tuple, back.select("unique_id", "ds", "y").collect())) == sorted(rows)
+    assert _files_read(back) == len(list(tmp_path.glob("f/*/*.parquet"))) >= 4
+    cut = X.training_slice(back, [0, 2], DAY0, DAY0)
+    assert cut.count() == 2 and _files_read(cut) == len(list(tmp_path.glob("f/ds=2024-01-01/*.parquet")))
+    days = spark.createDataFrame([(DAY0, 1), (DAY0 + dt.timedelta(days=3), 5)], "ds date, peak int").where("peak > 2")
+    cut = X.training_slice(back, days=days)
+    assert {r.ds for r in cut.collect()} == {DAY0 + dt.timedelta(days=3)} and cut.count() == 3
+    assert "dynamicpruning" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeats_are_forgotten_after_the_horizon(spark, tmp_path):
+    old = dt.datetime(2001, 1, 1)
+    for i in range(4):  # every file: 50 new ids, times that go backwards, and a repeat inside the file
+        rows = [(f"e{i}-{n % 50}", old - dt.timedelta(days=i)) for n in range(60)]
+        spark.createDataFrame(rows, "id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+
+    def run(horizon, label):
+        stream = S.parquet_stream(spark, f"{tmp_path}/in/*", T._parse_datatype_string("id string, ts timestamp"),
+                                  files_per_batch=1)
+        writer = S.drop_repeats(stream, "id", horizon).writeStream.format("memory").queryName(label).outputMode("append")
+        q = writer.option("checkpointLocation", f"{tmp_path}/{label}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(label).count(), [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+
+    kept, state = run(None, "for_ever")
+    assert kept == 200 and max(state) == 200
+    kept, state = run("1 hour", "inside")
+    assert kept == 200 and max(state) == 200
+    kept, state = run("1 millisecond", "short")
+    assert kept == 200 and max(state) < 200  # old rows stay, ids go
 
 
 def test_catalog(spark):
