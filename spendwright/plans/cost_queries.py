@@ -68,7 +68,40 @@ def _(t: Tables):
     return catalog.columns_frame({n: t[n] for n in _INFO_TABLES})
 
 
-@query("table_fingerprint", "table_name row_count:i hash_sum hash_xor:i")
+_FRACTIONS = set("c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value".split())
+_TIMES = {"ts", "o_orderdate", "l_shipdate"}
+_LISTS = {"embedding"}
+
+
+def _framed_sql(text: str) -> str:
+    return f"coalesce(strlen({text}) || ':' || {text}, 'n')"
+
+
+def _fraction_sql(c: str) -> str:
+    size, unit = f"abs({c}::DOUBLE)", "4503599627370496::DOUBLE"
+    first = f"(({size} - floor({size})) * {unit})"
+    parts = " || '_' || ".join(f"floor({x})::BIGINT" for x in (size, first, f"({first} - floor({first})) * {unit}"))
+    return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || {parts})"
+
+
+def _column_sql(c: str) -> str:
+    if c in _LISTS:
+        joined = f"list_transform({c}, lambda e: {_framed_sql(_fraction_sql('e'))})"
+        return _framed_sql(f"CASE WHEN {c} IS NOT NULL THEN array_to_string({joined}, '') END")
+    if c in _FRACTIONS:
+        return _framed_sql(_fraction_sql(c))
+    return _framed_sql(f"CAST(epoch_us({c}) AS VARCHAR)" if c in _TIMES else f"CAST({c} AS VARCHAR)")
+
+
+def _fingerprint_sql(name: str, columns: str) -> str:
+    row = " || ".join(_column_sql(c) for c in columns.split())
+    sums = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4))
+    return (f"SELECT '{name}' AS table_name, count(*) AS row_count, concat_ws('-', {sums}) AS hash_sum, "
+            f"bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS hash_xor FROM (SELECT sha256({row}) AS h FROM {name})")
+
+
+@query("table_fingerprint", "table_name row_count:i hash_sum hash_xor:i",
+       sql=" UNION ALL ".join(_fingerprint_sql(n, c) for n, c in _INFO_TABLES.items()))
 def _(t: Tables):
     return catalog.table_fingerprint({n: t[n] for n in BASE_TABLES})
 

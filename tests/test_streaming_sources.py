@@ -255,6 +255,23 @@ def test_fingerprint_ignores_order(spark):
     assert one == two and one.hash_sum != other.hash_sum and one.hash_xor != other.hash_xor
 
 
+def test_fingerprint_tells_cells_apart(spark):
+    schema = "a string, b string, d double, l array<double>, s struct<x:int,y:string>, m map<string,int>, t date"
+    base = ("x", "yz", 0.1, [1.0, None], (1, "q"), {"k": 1, "j": 2}, DAY0)
+    changes = [("xy", "z"), (None, "yz"), ("x", "")]
+    rows = [base, *[(*c, *base[2:]) for c in changes]]
+    for i, value in ((2, 0.1 + 2e-17), (2, -0.1), (2, float("inf")), (2, float("nan")), (2, 1e300), (2, 0.0), (2, 5e-324), (3, [1.0]),
+                     (3, []), (3, None), (4, (1, None)), (4, None), (5, {"k": 1}), (5, {}), (5, None), (6, None)):
+        rows.append((*base[:i], value, *base[i + 1 :]))
+    frames = {f"t{i}": spark.createDataFrame([r], schema) for i, r in enumerate(rows)}
+    frames["twice"] = spark.createDataFrame([base, base], schema)
+    got = {r.table_name: r for r in catalog.table_fingerprint({**frames, "none": frames["t0"].limit(0)}).collect()}
+    sums = [got[f"t{i}"].hash_sum for i in range(len(rows))]
+    assert len(set(sums)) == len(rows)
+    assert got["twice"].row_count == 2 and got["twice"].hash_sum not in sums
+    assert (got["none"].row_count, got["none"].hash_sum) == (0, "")
+
+
 def test_work_dir_is_stable_and_materialise_reads_back(spark):
     assert work_dir(spark) == work_dir(spark)
     assert new_path(spark, "a") != new_path(spark, "a")
