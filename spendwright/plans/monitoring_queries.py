@@ -265,8 +265,8 @@ def _(t: Tables):
     return D.serving_drift(t["drift_reference"], t["drift_current"], ["value", "uid"])
 
 
-# The data's error stays near 0.1; short runs at that level are the signal.
-THRESHOLD, DAYS = 0.10, 3
+# Models' forecasts leave the data's level by the day, so the defaults give every verdict.
+THRESHOLD, DAYS = D.MAPE_THRESHOLD, D.CONSECUTIVE_DAYS
 
 _CONCEPT_SQL = f"""
 ok AS (SELECT model_id, max(ds) FILTER (mape <= {THRESHOLD}) AS o, count(*) AS history_length FROM model_mape GROUP BY 1),

@@ -76,7 +76,8 @@ SELECT CAST(o_orderdate AS DATE) AS price_date, o_orderpriority AS commodity, av
 SELECT user_id AS unique_id, CAST(ts AS DATE) AS ds, sum(value) AS y FROM events
   GROUP BY user_id, CAST(ts AS DATE)""",
     "model_mape": """
-SELECT event_type AS model_id, CAST(ts AS DATE) AS ds, abs(avg(value) - 50.0) / 50.0 AS mape
+SELECT event_type AS model_id, CAST(ts AS DATE) AS ds,
+  abs(avg(value) - (50.0 + 0.25 * day(CAST(ts AS DATE)) * (length(event_type) - 4))) / 50.0 AS mape
   FROM events GROUP BY event_type, CAST(ts AS DATE)""",
     "ab_units": """
 SELECT CAST(user_id AS VARCHAR(20)) AS unit_id,
