@@ -629,10 +629,10 @@ def _(t: Tables):
     """
 WITH m AS (SELECT avg(total_unit_cost) AS m, stddev_samp(total_unit_cost) AS s FROM fact_cost_transactions)
 SELECT f.*, (total_unit_cost - m) / s AS z_score FROM fact_cost_transactions f, m
-WHERE abs((total_unit_cost - m) / s) > 2.0""",
+WHERE abs((total_unit_cost - m) / s) > 2.5""",
 )
 def _(t: Tables):
-    return K.ocogs_outliers(t["fact_cost_transactions"], z_threshold=2.0)
+    return K.ocogs_outliers(t["fact_cost_transactions"])
 
 
 # ---------------------------------------------------------------- savings
