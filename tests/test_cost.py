@@ -293,3 +293,15 @@ def test_reports_registry(spark, tmp_path):
     status = run_all_reports(tables, lambda name, df: done.append((name, df.count())))
     assert status["cost_variance"] == "ok" and status["supplier_performance"] != "ok"  # its tables are missing
     assert ("cost_anomaly", 0) in done
+
+
+def test_outlier_query_lists_all_beyond_two(spark, monkeypatch):
+    from spendwright.plans import load_queries
+
+    # One cost at z = 2.1 and one at z = 5.0 among a flat rest.
+    costs = [10.0] * 30 + [13.2, 17.0]
+    rows = [(D(2024, 1, 1), i, 1, 1, c, 1) for i, c in enumerate(costs)]
+    names = "transaction_date date, sku_id int, plant_id int, supplier_id int, total_unit_cost double, volume int"
+    found = load_queries()["ocogs_outliers"].build({"fact_cost_transactions": spark.createDataFrame(rows, names)})
+    scores = {r.total_unit_cost: r.z_score for r in found.collect()}
+    assert set(scores) == {13.2, 17.0} and 2.0 < scores[13.2] < 2.5 < scores[17.0]
