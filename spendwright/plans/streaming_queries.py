@@ -11,26 +11,30 @@ from spendwright.operators import features as X
 from spendwright.plans import experiment_queries as EQ
 from spendwright.plans import monitoring_queries as MQ
 from spendwright.plans.registry import query
-from spendwright.sources.session import new_path
+from spendwright.sources.session import materialise, new_path
 from spendwright.sources.views import Tables
 from spendwright.streaming import incremental as S
 
 # Three consecutive spans that together cover every day.
 _CUTS = (dt.date(2024, 1, 11), dt.date(2024, 1, 21))
-FILES_PER_BATCH = 1
 
 
-def _in_three_parts(df, key: str, label: str) -> str:
+def _in_three_parts(df, key: str, label: str) -> tuple[str, int]:
     """Write a dated table in three parts in time order, a key's rows of a part in one file.
 
-    Rows without a day are in the last part.
+    Rows without a day are in the last part. The second result is the number of
+    files of the largest part: a stream that takes as many at a time has at
+    most three micro-batches, however large the table.
     """
     path = new_path(df.sparkSession, label)
+    rows = materialise(df, f"{label}-rows")  # computed once for the three parts
     ds = F.col("ds")
     part = F.when(ds < _CUTS[0], 0).when(ds < _CUTS[1], 1).otherwise(2)
+    files = 1
     for i in range(3):
-        df.where(part == i).repartition(key).write.parquet(f"{path}/part={i}")
-    return path
+        rows.where(part == i).repartition(key).write.parquet(f"{path}/part={i}")
+        files = max(files, len(df.sparkSession.read.schema(rows.schema).parquet(f"{path}/part={i}").inputFiles()))
+    return path, files
 
 
 @query(
@@ -67,8 +71,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     history = t["model_mape"]
-    path = _in_three_parts(history, "model_id", "checks")
-    checks = S.parquet_stream(t.spark, f"{path}/*", history.schema, files_per_batch=FILES_PER_BATCH)
+    path, files = _in_three_parts(history, "model_id", "checks")
+    checks = S.parquet_stream(t.spark, f"{path}/*", history.schema, files_per_batch=files)
     return S.stream_concept_drift(checks, threshold=MQ.THRESHOLD, consecutive_days=MQ.DAYS)
 
 
@@ -81,8 +85,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     features = X.lag_rolling_features(t["series"])
-    path = _in_three_parts(features, "unique_id", "features")
-    stream = S.parquet_stream(t.spark, f"{path}/*", features.schema, files_per_batch=FILES_PER_BATCH)
+    path, files = _in_three_parts(features, "unique_id", "features")
+    stream = S.parquet_stream(t.spark, f"{path}/*", features.schema, files_per_batch=files)
     return S.upsert(S.stream_latest_snapshot(stream), ["unique_id"], "snapshot")
 
 

@@ -278,3 +278,23 @@ def test_work_dir_is_stable_and_materialise_reads_back(spark):
     df = spark.range(5).withColumn("d", F.lit(DAY0))
     assert materialise(df, "t").exceptAll(df).count() == 0
     assert drop_intermediates(spark) > 0 and drop_intermediates(spark) == 0
+
+
+def test_parts_of_many_files_are_three_batches(spark):
+    from spendwright.plans.streaming_queries import _in_three_parts
+
+    days = F.date_add(F.lit("2024-01-05").cast("date"), (F.col("id") % 4 * 7).cast("int"))
+    df = spark.range(400).select((F.col("id") % 90).alias("unique_id"), days.alias("ds"), F.col("id").cast("double").alias("y"))
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path, files = _in_three_parts(df, "unique_id", "many-files")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    assert files > 1
+    stream = S.parquet_stream(spark, f"{path}/*", df.schema, files_per_batch=files)
+    landed = S.drain(S.stream_latest_snapshot(stream), "update", "many-files")
+    assert landed.agg(F.countDistinct(S.BATCH)).first()[0] <= 3
+    got = S.latest_batch(landed, ["unique_id"])
+    want = df.groupBy("unique_id").agg(F.max("ds").alias("ds"))
+    assert got.count() == 90 and got.join(want, ["unique_id", "ds"]).count() == 90
