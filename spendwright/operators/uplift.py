@@ -255,6 +255,24 @@ CHUNK = 50_000
 _AT_ONCE = 500
 
 
+def _copies(w: np.ndarray, y: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Per replicate the sum of an arm's mean after each of a unit's ``w`` copies.
+
+    The mean after copy k is ``(s + k y) / (n + k) = y + (s - n y) / (n + k)``;
+    few units have more than two copies.
+    """
+    shares = (w >= 1) / (n + 1)
+    shares += (w >= 2) / (n + 2)
+    flat, counts = shares.reshape(-1), n.reshape(-1)
+    left = np.flatnonzero(w >= 3)
+    k = 3
+    while len(left):
+        flat[left] += 1 / (counts[left] + k)
+        k += 1
+        left = left[w.reshape(-1)[left] >= k]
+    return np.einsum("ij,ij->j", w, np.broadcast_to(y, w.shape)) + np.einsum("ij,ij->j", s - n * y, shares)
+
+
 def auuc_bootstrap_ci(
     df: DataFrame,
     key: Sequence[str],
@@ -295,16 +313,24 @@ def area_interval(
         arm, value = (rows[c].to_numpy()[order].astype(float)[:, None] for c in ("t", "y"))
         at = np.argsort(carried[REPLICATE].to_numpy())
         nt, nc, st, sc = (carried[n].to_numpy()[at] for n in names)
-        height = np.zeros(replicates)
+        # A missing outcome or arm leaves no area.
+        height = np.full(replicates, 0.0 if np.isfinite(arm * value).all() else np.nan)
         for first in range(0, len(keys), _AT_ONCE):
             part = slice(first, first + _AT_ONCE)
-            w, d, v = replicate_weights(keys[part], replicates, seed), arm[part], value[part]
-            steps = [w * d, w * (1 - d), w * d * v, w * (1 - d) * v]
-            a, b, c, e = (o + np.cumsum(s, axis=0) - s for o, s in zip((nt, nc, st, sc), steps, strict=True))
-            for k in range(1, int(w.max(initial=0)) + 1):  # the k-th copy of each unit
-                up = (c + k * d * v) / np.maximum(a + k * d, 1) - (e + k * (1 - d) * v) / np.maximum(b + k * (1 - d), 1)
-                height += np.where(w >= k, up, 0.0).sum(axis=0)
-            nt, nc, st, sc = (o + s.sum(axis=0) for o, s in zip((nt, nc, st, sc), steps, strict=True))
+            w, treated, v = replicate_weights(keys[part], replicates, seed), arm[part, 0] == 1, value[part]
+            sides = []
+            for on, n, s in ((treated, nt, st), (~treated, nc, sc)):
+                # Counts and sums of the arm before its first unit here and after each one.
+                counts = np.concatenate([n[None], w[on]])
+                sums = np.concatenate([s[None], w[on] * v[on]])
+                sides.append((np.cumsum(counts, axis=0, out=counts), np.cumsum(sums, axis=0, out=sums)))
+            for on, (n, s), (other_n, other_s), sign in ((treated, *sides, 1.0), (~treated, *sides[::-1], -1.0)):
+                own, y1, n0, s0 = w[on], v[on], n[:-1], s[:-1]
+                height += sign * _copies(own, y1, n0, s0)
+                # The other arm's mean stands still over all copies of a unit.
+                stands = other_s / np.maximum(other_n, 1)
+                height -= sign * np.einsum("ij,ij->j", own, stands[np.cumsum(~on)[on]])
+            (nt, st), (nc, sc) = ((n[-1], s[-1]) for n, s in sides)
         return pa.table({REPLICATE: pa.array(np.arange(replicates), pa.int32()), "su": height})
 
     groups = slim.withColumn("_text", key_text(key)).select("_chunk", "position", "_text", "t", "y").groupBy("_chunk")

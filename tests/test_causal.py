@@ -181,3 +181,12 @@ def test_explanations_find_the_top_feature(linear):
     assert [(r.feature, r.shap_rank, r.lime_rank) for r in both] == [("a", 1, 1), ("b", 2, 2)]
     with pytest.raises(ValueError):
         X.compare_explanations(importance, local, df.agg(F.count(F.lit(1))), top_n=0)
+
+
+def test_copies_add_up_without_a_pass_per_copy():
+    rng = np.random.default_rng(3)
+    w = rng.poisson(1.0, (40, 6)).astype(float)
+    w[0, 0] = 7.0
+    y, n, s = rng.normal(size=(40, 1)), rng.integers(0, 5, (40, 6)).astype(float), rng.normal(size=(40, 6))
+    want = [sum((s[i, r] + k * y[i, 0]) / (n[i, r] + k) for i in range(40) for k in range(1, int(w[i, r]) + 1)) for r in range(6)]
+    assert U._copies(w, y, n, s) == pytest.approx(want, rel=1e-12)
