@@ -47,6 +47,9 @@ def _after_letters(data: np.ndarray) -> np.ndarray:
     return mask
 
 
+_ENCODED = 64_000  # characters encoded at a time
+
+
 class Tokens:
     """Token ids of texts, with a bounded table of word ids by word hash."""
 
@@ -74,7 +77,15 @@ class Tokens:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text, some at a time: the tokenizer's own results take many times the bytes of the ids."""
+        out, some, size = [], [], 0
+        for i, text in enumerate(texts):
+            some.append(text)
+            size += len(text)
+            if size >= _ENCODED or i + 1 == len(texts):
+                out += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                some, size = [], 0
+        return out
 
     def _word_ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Plain words go in lines: each is one token run that ends with a word end."""
@@ -199,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, items = Tokens.of(tokenizer), []
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", 2_000_000):
                 ids, at = tokens.encode(part.column("text"), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for doc, begin, end in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

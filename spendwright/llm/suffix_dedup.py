@@ -51,7 +51,7 @@ from spendwright.sources.session import materialise
 WINDOW, GRAM = 50, 24
 SHARD_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 #: text bytes for each task that merges anchors, and for each that merges stretches
-RANGE_BYTES, MERGE_BYTES = 16 << 20, 8 << 20
+RANGE_BYTES, MERGE_BYTES = 16 << 20, 4 << 20
 HOT = 20_000
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 _LAST = np.iinfo(np.int64).max
@@ -267,6 +267,7 @@ def _stretches(merges: int):
     """A shard's own repeats (``part`` -1) and its stretches for others, by the task that merges them."""
 
     def run(key: tuple, rows: pa.Table, recurring: pa.Table) -> pa.Table:
+        W.give_back()
         _, doc, data, offsets = _opened(rows)
         known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in recurring.column("hashes").combine_chunks()]])
         is_hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(b.as_buffer(), dtype=bool) for b in recurring.column("hot").combine_chunks()]])
@@ -378,6 +379,7 @@ def _depths(keys: np.ndarray) -> np.ndarray:
 
 def _earlier(_key: tuple, rows: pa.Table) -> pa.Table:
     """(shard, spans) of strings that a document of another shard with a smaller id has."""
+    W.give_back()
     open_ = zstandard.ZstdDecompressor()
     get = lambda c, kind: [np.frombuffer(b.as_buffer(), dtype=kind) for b in rows.column(c).combine_chunks()]
     starts, befores, mores = get("start", np.int64), get("before", np.uint8), get("more", np.uint8)

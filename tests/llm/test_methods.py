@@ -294,3 +294,20 @@ def test_pipeline_runs(spark):
         assert docs.columns == columns and docs.count() > 0.7 * whole
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_tokens_are_encoded_some_at_a_time():
+    from spendwright.llm import packing
+
+    sizes = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append(sum(map(len, texts)))
+            return [type("Encoding", (), {"ids": [len(t)]}) for t in texts]
+
+    tokens = object.__new__(packing.Tokens)
+    tokens.tokenizer = Counted()
+    texts = ["x" * (i % 700) for i in range(2000)]
+    assert tokens._encode(texts) == [[len(t)] for t in texts] and tokens._encode([]) == []
+    assert len(sizes) > 1 and max(sizes) < packing._ENCODED + 700
