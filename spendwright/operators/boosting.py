@@ -58,7 +58,8 @@ class Grid:
         number: Column = F.lit(0).cast("long")
         for name, cuts in zip(self.features, self.cuts, strict=True):
             x = F.col(name).cast("double")
-            place = sum(((x > c).cast("int") for c in cuts), F.lit(0))
+            # not a sum of comparisons: of a hundred of them the generated code is too long to be compiled
+            place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c, x=x: c < x)) if cuts else F.lit(0)
             missing = F.raise_error(F.lit(f"feature {name} is null or NaN")).cast("int")
             number = number * (len(cuts) + 1) + F.when(x.isNull() | F.isnan(x), missing).otherwise(place)
         return number
@@ -254,6 +255,8 @@ def fit_regression(
     if grid is None:
         return None
     sums = materialise(cell_sums(rows, grid, label, params, key=key), "cell-sums")
+    if sums.isEmpty():
+        raise ValueError("boosted trees need rows")
     return CellModel(grid, materialise(boost_cells(sums, grid.shape, params), "cell-values"))
 
 

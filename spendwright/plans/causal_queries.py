@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendwright.functions.hashing import hash_order_sql, standard_normal_sql, unit_interval_sql
+from spendwright.operators import boosting as B
 from spendwright.operators import causal as C
 from spendwright.operators import explain as X
 from spendwright.operators import uplift as U
 from spendwright.plans import resampling_sql as R
 from spendwright.plans.registry import query
+from spendwright.sources.session import materialise
 from spendwright.sources.views import Tables
 
 KEY = ["unit_id"]
@@ -134,7 +133,7 @@ def _(t: Tables):
 
 # Models of this session by table folder: several queries score the same learners.
 _MODELS: dict[tuple[str, str], U.UpliftModel] = {}
-_SUPPLIER_MODELS: dict[tuple[str, str], object] = {}
+_SUPPLIER_MODELS: dict[tuple[str, str], tuple[DataFrame, B.CellModel]] = {}
 
 
 def _model_key(t: Tables) -> tuple[str, str]:
@@ -283,15 +282,11 @@ SUPPLIER_FEATURES = ["discount", "tax", "quantity"]
 
 
 def _supplier_model(t: Tables):
-    rows = t.sql(_SUPPLIER_ROWS)
     if _model_key(t) not in _SUPPLIER_MODELS:
-        U.cut_lineage(t.spark)
-        stages = [
-            VectorAssembler(inputCols=SUPPLIER_FEATURES, outputCol="features"),
-            GBTRegressor(featuresCol="features", labelCol="price", **U.REGRESSOR),
-        ]
-        _SUPPLIER_MODELS[_model_key(t)] = Pipeline(stages=stages).fit(rows)
-    return rows, _SUPPLIER_MODELS[_model_key(t)]
+        # averages may differ in the last bit when taken again: fitted and explained rows are the same
+        rows = materialise(t.sql(_SUPPLIER_ROWS), "supplier-rows")
+        _SUPPLIER_MODELS[_model_key(t)] = rows, B.fit_regression(rows, SUPPLIER_FEATURES, "price", U.REGRESSOR, ["supplier_id"])
+    return _SUPPLIER_MODELS[_model_key(t)]
 
 
 @query("permutation_importance", "feature mean_abs_shap:2")
