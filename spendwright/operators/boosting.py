@@ -59,7 +59,7 @@ class Grid:
         for name, cuts in zip(self.features, self.cuts, strict=True):
             x = F.col(name).cast("double")
             # not a sum of comparisons: of a hundred of them the generated code is too long to be compiled
-            place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c, x=x: c < x)) if cuts else F.lit(0)
+            place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x)) if cuts else F.lit(0)
             missing = F.raise_error(F.lit(f"feature {name} is null or NaN")).cast("int")
             number = number * (len(cuts) + 1) + F.when(x.isNull() | F.isnan(x), missing).otherwise(place)
         return number
