@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,23 +88,29 @@ class Tokens:
                 some, size = [], 0
         return out
 
-    def _word_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Plain words go in lines: each is one token run that ends with a word end."""
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha()]
-        other = [i for i, t in enumerate(texts) if not (t.isascii() and t.isalpha())]
+    def _word_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts in a line, place and number of each text's). Plain words go in lines: each is one token run that ends with a word end."""
+        at, length = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        plain, other = [], []
+        for i, text in enumerate(texts):
+            (plain if text.isascii() and text.isalpha() else other).append(i)
         lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for line, ids in zip(lines, self._encode([" ".join(texts[i] for i in line) for line in lines]), strict=True):
+        runs, total = [], 0
+        for line, ids in zip(lines, self._encode([" ".join([texts[i] for i in line]) for line in lines]), strict=True):
             found = np.array(ids, dtype=np.uint32)
             cuts = np.flatnonzero(self.ends_word[found]) + 1
             if len(cuts) != len(line):
                 other += line
                 continue
-            for i, a, b in zip(line, [0, *cuts[:-1]], cuts, strict=True):
-                out[i] = found[a:b]
-        for i, ids in zip(other, self._encode([texts[i] for i in other]), strict=True):
-            out[i] = np.array(ids, dtype=np.uint32)
-        return out
+            starts = np.concatenate([[0], cuts[:-1]])
+            at[line], length[line] = total + starts, cuts - starts
+            runs.append(found)
+            total += len(found)
+        some = self._encode([texts[i] for i in other])
+        counts = np.array([len(ids) for ids in some], dtype=np.int64)
+        at[other], length[other] = total + np.cumsum(counts) - counts, counts
+        runs.append(np.fromiter(chain.from_iterable(some), dtype=np.uint32, count=int(counts.sum())))
+        return np.concatenate(runs), at, length
 
     def _learn(self, w: W.Words, h: np.ndarray) -> None:
         new, where = np.unique(h, return_index=True)
@@ -117,10 +124,10 @@ class Tokens:
             self._clear()
             self._learn(w, h)
             return
-        found = self._word_ids([w.data[w.start[i] : w.end[i]].tobytes().decode("utf-8") for i in where])
-        length = np.array([len(f) for f in found], dtype=np.int64)
-        at = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids, *found])
+        raw = w.data.tobytes()
+        found, at, length = self._word_ids([raw[a:b].decode("utf-8") for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)])
+        at += len(self.ids)
+        self.ids = np.concatenate([self.ids, found])
         place = np.searchsorted(self.keys, new)
         self.keys = np.insert(self.keys, place, new)
         self.at, self.length = np.insert(self.at, place, at), np.insert(self.length, place, length)
@@ -210,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, items = Tokens.of(tokenizer), []
         for batch in batches:
-            for part in W.slices(batch, "text", 2_000_000):
+            for part in W.slices(batch, "text", 1_000_000):
                 ids, at = tokens.encode(part.column("text"), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for doc, begin, end in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
