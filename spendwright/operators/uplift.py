@@ -158,7 +158,7 @@ class UpliftModel:
         seen = rows.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)), *counts).first()
         n, ones, zeros = seen[0], seen[4], seen[5]
         regular = n == seen[3] == ones + zeros and ones > 0 and zeros > 0
-        said = repr(("cells", rows.sparkSession.version, list(seen), rows.columns, sorted(REGRESSOR.items()), sorted(CLASSIFIER.items()), sorted(self.params.items()), FOREST_MIN_INSTANCES))
+        said = repr(("cell sums", rows.sparkSession.version, list(seen), rows.columns, sorted(REGRESSOR.items()), sorted(CLASSIFIER.items()), sorted(self.params.items()), FOREST_MIN_INSTANCES))
         base = self.folder or f"{lasting_dir(rows.sparkSession).rstrip('/')}/uplift-models"
         return n, regular, f"{base}/{hashlib.sha256(said.encode()).hexdigest()[:32]}"
 
