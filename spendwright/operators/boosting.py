@@ -39,6 +39,7 @@ KNOWN = {"maxIter", "maxDepth", "stepSize", "minInstancesPerNode", "subsamplingR
 
 CELL, ARM = "_cell", "_arm"
 _AT_ONCE = 1000
+_VALUES_PER_TASK = 50_000
 _STEP, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -73,7 +74,9 @@ def find_grid(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS)
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("double").alias("x")) for i, f in enumerate(features)]))
     counted = df.select(pairs.alias("v")).select("v.*").where("x is not null and not isnan(x)").groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
-    ordered = Ordered(counted, [F.col("x")], ["f"])
+    counted = materialise(counted, "value-counts")
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = Ordered(counted, [F.col("x")], ["f"], min(most, 1 + counted.count() // _VALUES_PER_TASK))
     sizes = sized(ordered.rows.groupBy("f").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total")), "feature-sizes")
     ranked = ordered.running_sum({"c": F.col("n")}).join(sizes, "f")
     passed = [F.floor(at * max_bins / F.col("total")) for at in (F.col("c"), F.col("c") - F.col("n"))]
@@ -261,8 +264,12 @@ def fit_regression(
 
 
 def save_grid(spark: SparkSession, grid: Grid, path: str) -> None:
-    lines = [(i, f, list(c)) for i, (f, c) in enumerate(zip(grid.features, grid.cuts, strict=True))]
-    spark.createDataFrame(lines, "i int, feature string, cuts array<double>").coalesce(1).write.parquet(path)
+    # literals, not local rows: these would start Python workers
+    lines = [
+        F.struct(F.lit(i).alias("i"), F.lit(f).alias("feature"), F.array(*[F.lit(float(x)) for x in c]).cast("array<double>").alias("cuts"))
+        for i, (f, c) in enumerate(zip(grid.features, grid.cuts, strict=True))
+    ]
+    spark.range(1).coalesce(1).select(F.inline(F.array(*lines))).write.parquet(path)
 
 
 def load_grid(spark: SparkSession, path: str) -> Grid:
