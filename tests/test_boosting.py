@@ -1,5 +1,7 @@
 """Boosted trees on cell sums: the same models as pyspark.ml where all rows are drawn, in few jobs."""
 
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
@@ -101,3 +103,23 @@ def test_gaps_and_empty_arms_are_errors(rows, tmp_path):
     model = B.fit_regression(rows, ["a"], "y", OPTIONS)
     with pytest.raises(Exception, match="null or NaN"):
         model.transform(rows.withColumn("a", F.lit(float("nan")))).collect()
+
+
+def test_a_grid_is_made_and_stored_in_few_tasks(spark, rows, tmp_path, monkeypatch):
+    # few distinct values need one range, and a stored grid needs no local rows, which start Python workers
+    ranges, ordered = [], B.Ordered
+    monkeypatch.setattr(B, "Ordered", lambda df, order, by, partitions=None: ranges.append(partitions) or ordered(df, order, by, partitions))
+    grid = B.find_grid(rows.withColumn("one", F.lit(1.0)), ["a", "one", "c"])
+    assert ranges == [1] and grid.shape == (20, 1, 32)
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    B.save_grid(spark, grid, str(tmp_path / "grid"))
+    assert B.load_grid(spark, str(tmp_path / "grid")) == grid
+
+
+def test_learners_are_judged_side_by_side(rows, tmp_path, monkeypatch):
+    model = U.UpliftModel(["a"], "t", "y", {"maxIter": 2}, str(tmp_path)).fit(rows, ["s_learner", "t_learner"])
+    alone = [U.uplift_ablation(model, rows, ["id"], 20, [name]).first() for name in ("s_learner", "t_learner")]
+    meet, interval = Barrier(2, timeout=60), U.area_interval
+    monkeypatch.setattr(U, "area_interval", lambda *args: (meet.wait(), interval(*args))[1])
+    both = U.uplift_ablation(model, rows, ["id"], 20, ["s_learner", "t_learner"]).collect()
+    assert sorted(both) == sorted(alone)
