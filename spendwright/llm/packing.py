@@ -20,6 +20,7 @@ no rows; extra columns are ignored. ``doc_id`` holds integers.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -57,6 +58,8 @@ class Tokens:
     _shared: dict[str, Tokens] = {}
 
     def __init__(self, path: str, most_words: int = 1_000_000):
+        # one thread a task: a pool of threads in every worker would hold memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words

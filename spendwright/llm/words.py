@@ -77,6 +77,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         end = min(max(end, start + 1), len(texts))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 @dataclass

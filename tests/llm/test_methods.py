@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and their own other paths."""
 
 import gzip
+import os
 import random
 import re
 import zlib
@@ -311,3 +312,19 @@ def test_tokens_are_encoded_some_at_a_time():
     texts = ["x" * (i % 700) for i in range(2000)]
     assert tokens._encode(texts) == [[len(t)] for t in texts] and tokens._encode([]) == []
     assert len(sizes) > 1 and max(sizes) < packing._ENCODED + 700
+
+
+def test_workers_hold_little_while_tokens_are_made(monkeypatch):
+    # no pool of threads per worker, and what the last slice took is returned as well
+    from spendwright.llm import words
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.Tokens(path)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    returned = []
+    monkeypatch.setattr(words, "give_back", lambda: returned.append(len(seen)))
+    seen = []
+    for part in words.slices(pa.record_batch({"text": ["one two", "three", "four"]}), "text", 8):
+        seen.append(part)
+    assert len(seen) == 2 and returned == [0, 2]
