@@ -325,6 +325,6 @@ def test_workers_hold_little_while_tokens_are_made(monkeypatch):
     returned = []
     monkeypatch.setattr(words, "give_back", lambda: returned.append(len(seen)))
     seen = []
-    for part in words.slices(pa.record_batch({"text": ["one two", "three", "four"]}), "text", 8):
+    for part in words.slices(pa.record_batch({"text": ["one two", "three", "four"]}), "text", 9):
         seen.append(part)
     assert len(seen) == 2 and returned == [0, 2]
