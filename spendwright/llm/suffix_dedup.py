@@ -5,12 +5,13 @@ in a document with a smaller doc_id.
 
 1. Each string has an anchor, the ``GRAM`` bytes in it with the smallest hash.
    Anchors that two documents have are found from their hashes alone, dealt to
-   tasks by range of the hash. Equal strings have equal anchors, so the rest of
-   the text can hold no repeat.
+   tasks by range of the hash, which is mixed again for it: as the smallest of
+   many, the hashes themselves crowd the lowest range. Equal strings have equal
+   anchors, so the rest of the text can hold no repeat.
 2. Documents are dealt to shards of bounded size. A shard sorts the suffixes of
    its stretches around recurring anchors (Larsson and Sadakane's refinement:
-   only undecided groups are sorted again, by the ranks that a doubled distance
-   away have reached) and takes the common prefixes of neighbours in text order
+   only undecided groups are sorted again, by the ranks that one and, where they
+   fit, two sorted lengths away have reached) and takes the common prefixes of neighbours in text order
    (Kasai). Strings with a common prefix of ``WINDOW`` form a class; only those
    of the class's first document are sent on, as stretches that share an anchor,
    in suffix order.
@@ -21,6 +22,9 @@ in a document with a smaller doc_id.
    a smaller doc_id has are told to their shards.
 4. The shards remove what is covered.
 
+All this is one job, so the texts are shuffled once and read three times. Lists
+of numbers travel byte by byte of all numbers, ascending ones as differences.
+
 An anchor with more than ``hot`` places would gather in one task. Its strings
 are dealt one by one by their own hash instead: equal ones meet, at most one of
 each shard. Hashes only select and deal; what is removed was compared.
@@ -46,13 +50,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendwright.llm import words as W
-from spendwright.sources.session import materialise
 
 WINDOW, GRAM = 50, 24
-SHARD_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
+SHARD_BYTES, SLICE_BYTES = 4 << 20, 1 << 17
 #: text bytes for each task that merges anchors, and for each that merges stretches
 RANGE_BYTES, MERGE_BYTES = 16 << 20, 4 << 20
 HOT = 20_000
+#: bits of an anchor's hash that are kept
+HASH_BITS = 48
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 _LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
@@ -60,6 +65,25 @@ _MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint6
 _SPANS = "shard long, start binary, end binary"
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, their first bytes side by side, then their second ones and so on."""
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes())
+
+
+def _numbers(squeezed: pa.Scalar, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed.as_buffer()), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _ascending(numbers: np.ndarray) -> bytes:
+    """Ascending hashes compressed."""
+    return _squeezed(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def _hashes(squeezed: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_numbers(squeezed, np.uint64), dtype=np.uint64)
+
+
 def _eight(data: np.ndarray, more: int = 64) -> np.ndarray:
     """The eight bytes from each place on, as little-endian numbers, zeros after the end."""
     padded = np.concatenate([data, np.zeros(more + 8, dtype=np.uint8)])
@@ -106,7 +130,7 @@ class Windows:
             self.at += (self.start - self.at + int(_PLACE)) // (int(_PLACE) + 1) * (int(_PLACE) + 1)
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
-        return _hashed(self.eight, at, GRAM)
+        return W.mix(_hashed(self.eight, at, GRAM)) >> np.uint64(64 - HASH_BITS)
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,7 +156,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     new[1:] = ordered[1:] != ordered[:-1]
     rank = np.empty(m, dtype=np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    step = 8
+    step, times = 8, 3 if (m + 1) ** 3 < 1 << 63 else 2  # as many ranks as one number holds
     while step < depth:
         ordered = rank[order]
         same = np.zeros(m + 1, dtype=bool)
@@ -140,16 +164,18 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         todo = np.flatnonzero(same[:-1] | same[1:])
         if not len(todo):
             break
-        at, group = order[todo], ordered[todo]
-        later = np.where(at + step < m, rank[np.minimum(at + step, m - 1)] + 1, 0)
-        both = group * (m + 1) + later
-        sort = np.argsort(both)
-        at, both = at[sort], both[sort]
+        at, all_ = order[todo], ordered[todo]
+        later = np.concatenate([rank + 1, np.zeros(2 * step, dtype=np.int64)])
+        for k in range(1, times):
+            all_ = all_ * (m + 1) + later[at + k * step]
+        sort = np.argsort(all_)
+        at, all_ = at[sort], all_[sort]
         order[todo] = at
-        new = np.ones(len(todo), dtype=bool)
-        new[1:] = both[1:] != both[:-1]
-        rank[at] = todo[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        step *= 2
+        step *= times
+        if step < depth:
+            new = np.ones(len(todo), dtype=bool)
+            new[1:] = all_[1:] != all_[:-1]
+            rank[at] = todo[np.flatnonzero(new)[np.cumsum(new) - 1]]
     return order
 
 
@@ -200,6 +226,9 @@ def _packed(docs: DataFrame, columns: list[str], key: str, text: str, shards: in
     return source.mapInArrow(run, schema).withColumn("_shard", F.pmod("_deal", F.lit(shards)))
 
 
+_TEXTS = ["_deal", "_doc", "_body"]
+
+
 def _opened(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """(rows in a fixed order, doc of each, bytes of all texts, offsets)."""
     rows = rows.take(pc.sort_indices(rows, [("_deal", "ascending"), ("_doc", "ascending")])) if rows.num_rows else rows
@@ -215,7 +244,7 @@ def _anchors(ranges: int):
     """(range, shard, hashes, places and rows of each) of a shard's anchors."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        _, _, data, offsets = _opened(rows)
+        _, _, data, offsets = _opened(rows.select(_TEXTS))
         found = [(h, at[begin]) for _, at, begin, h in _windows(data, offsets)]
         h = np.concatenate([np.zeros(0, np.uint64), *[f[0] for f in found]])
         row = np.searchsorted(offsets, np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]]), side="right") - 1
@@ -225,9 +254,8 @@ def _anchors(ranges: int):
         size = np.diff(np.append(begin, len(h)))
         many = np.maximum.reduceat(row, begin) != np.minimum.reduceat(row, begin) if len(h) else np.zeros(0, dtype=bool)
         h, about = h[begin], (2 * size + many).astype(np.uint32)
-        cuts = np.searchsorted(h, np.array([-(-(r << 64) // ranges) for r in range(1, ranges)], dtype=np.uint64)) if ranges > 1 else np.zeros(0, dtype=np.int64)
-        press = zstandard.ZstdCompressor(level=1)
-        made = [(r, a.tobytes(), press.compress(b.tobytes())) for r, (a, b) in enumerate(zip(np.split(h, cuts), np.split(about, cuts), strict=True)) if len(a)]
+        cuts = np.searchsorted(h, np.array([-(-(r << HASH_BITS) // ranges) for r in range(1, ranges)], dtype=np.uint64)) if ranges > 1 else np.zeros(0, dtype=np.int64)
+        made = [(r, _ascending(a), _squeezed(b)) for r, (a, b) in enumerate(zip(np.split(h, cuts), np.split(about, cuts), strict=True)) if len(a)]
         return pa.table({"part": pa.array([m[0] for m in made], pa.int32()), "shard": pa.array([key[0].as_py()] * len(made), pa.int64()), "hashes": pa.array([m[1] for m in made], pa.binary()), "about": pa.array([m[2] for m in made], pa.binary())})
 
     return run
@@ -237,9 +265,9 @@ def _recurring(hot: int):
     """(shard, hashes, hot) of the anchors of a range that two rows have."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
-        lists = [np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in rows.column("hashes").combine_chunks()]
-        about = np.concatenate([np.frombuffer(open_.decompress(b.as_buffer()), dtype=np.uint32) for b in rows.column("about").combine_chunks()])
+        W.give_back()
+        lists = [_hashes(b) for b in rows.column("hashes").combine_chunks()]
+        about = np.concatenate([_numbers(b, np.uint32) for b in rows.column("about").combine_chunks()])
         h = np.concatenate(lists)
         order = np.argsort(h, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
@@ -250,7 +278,7 @@ def _recurring(hot: int):
         keep, is_hot = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
         keep[order], is_hot[order] = np.repeat(again, size), np.repeat(wide, size)
         at = np.cumsum([0, *[len(x) for x in lists]])
-        out = [(s, h[a:b][keep[a:b]].tobytes(), is_hot[a:b][keep[a:b]].tobytes()) for s, a, b in zip(rows.column("shard").to_pylist(), at, at[1:]) if keep[a:b].any()]
+        out = [(s, _ascending(h[a:b][keep[a:b]]), _squeezed(is_hot[a:b][keep[a:b]])) for s, a, b in zip(rows.column("shard").to_pylist(), at, at[1:]) if keep[a:b].any()]
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int64()), "hashes": pa.array([o[1] for o in out], pa.binary()), "hot": pa.array([o[2] for o in out], pa.binary())})
 
     return run
@@ -264,13 +292,13 @@ def _spans(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stretches(merges: int):
-    """A shard's own repeats (``part`` -1) and its stretches for others, by the task that merges them."""
+    """A shard's own repeats (``part`` below 0) and its stretches for others, by the task that merges them."""
 
     def run(key: tuple, rows: pa.Table, recurring: pa.Table) -> pa.Table:
         W.give_back()
-        _, doc, data, offsets = _opened(rows)
-        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in recurring.column("hashes").combine_chunks()]])
-        is_hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(b.as_buffer(), dtype=bool) for b in recurring.column("hot").combine_chunks()]])
+        _, doc, data, offsets = _opened(rows.select(_TEXTS))
+        known = np.concatenate([np.zeros(0, np.uint64), *[_hashes(b) for b in recurring.column("hashes").combine_chunks()]])
+        is_hot = np.concatenate([np.zeros(0, bool), *[_numbers(b, bool) for b in recurring.column("hot").combine_chunks()]])
         made = [_local(key[0].as_py(), doc, data, offsets, known, is_hot, merges)] if len(known) and len(data) else []
         if not made:
             return pa.table({f.name: pa.array([], f.type) for f in _FOUND})
@@ -297,7 +325,7 @@ def _local(shard: int, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, k
     anchor, hot = known[place], is_hot[place]
     del parts, place
     # the stretches alone, with the places of strings and anchors in them
-    inside = W.covered(len(data), start, start + WINDOW)
+    inside = W.covered(len(data), *_spans(start))
     text = data[inside]
     moved = np.cumsum(inside) - 1
     begin, middle = moved[start], moved[at]
@@ -314,7 +342,7 @@ def _local(shard: int, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, k
     np.minimum.at(first, group, mine)
     later = mine > first[group]
     a, b = _spans(start[later])
-    out = [{"shard": shard, "part": -1, "start": a.tobytes(), "end": b.tobytes()}]
+    out = [{"shard": shard, "part": -1 - shard, "start": a.tobytes(), "end": b.tobytes()}]
     # strings of a class's first document, joined where they are neighbours with one anchor
     stay = np.flatnonzero(~later)
     start, begin, middle, anchor, hot, mine = start[stay], begin[stay], middle[stay], anchor[stay], hot[stay], mine[stay]
@@ -342,10 +370,10 @@ def _local(shard: int, doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, k
             {
                 "shard": shard,
                 "part": int(part[x]),
-                "start": start[lead[x:y]].tobytes(),
-                "docs": press.compress(mine[lead[x:y]].tobytes()),
-                "before": before[x:y].astype(np.uint8).tobytes(),
-                "more": more[x:y].astype(np.uint8).tobytes(),
+                "start": _squeezed(start[lead[x:y]]),
+                "docs": _squeezed(mine[lead[x:y]]),
+                "before": _squeezed(before[x:y].astype(np.uint8)),
+                "more": _squeezed(more[x:y].astype(np.uint8)),
                 "body": press.compress(body[byte[x] : byte[y]].tobytes()),
             }
         )
@@ -377,13 +405,15 @@ def _depths(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _earlier(_key: tuple, rows: pa.Table) -> pa.Table:
-    """(shard, spans) of strings that a document of another shard with a smaller id has."""
+def _earlier(key: tuple, rows: pa.Table) -> pa.Table:
+    """(shard, spans) of strings that a document of another shard with a smaller id has; a shard's own repeats as they are."""
+    if key[0].as_py() < 0:
+        return rows.select(["shard", "start", "end"])
     W.give_back()
     open_ = zstandard.ZstdDecompressor()
-    get = lambda c, kind: [np.frombuffer(b.as_buffer(), dtype=kind) for b in rows.column(c).combine_chunks()]
+    get = lambda c, kind: [_numbers(b, kind) for b in rows.column(c).combine_chunks()]
     starts, befores, mores = get("start", np.int64), get("before", np.uint8), get("more", np.uint8)
-    docs = np.concatenate([np.frombuffer(open_.decompress(b.as_buffer()), dtype=np.int64) for b in rows.column("docs").combine_chunks()])
+    docs = np.concatenate(get("docs", np.int64))
     reach = WINDOW - GRAM
     lists, left, count = [], [], 0
     for packed, before in zip(rows.column("body").combine_chunks(), befores, strict=True):
@@ -464,16 +494,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     columns = [c for c in docs.columns if c not in RESULT and (keep_text or c != text)]
     private = {c: f"_c{i}" for i, c in enumerate(columns) if c != text}  # no name of ours can meet one of theirs
     renamed = docs.select(*[F.col(c).alias(p) for c, p in private.items()], F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_source"))
-    bodies = _packed(renamed.select("_key", "_source"), [], "_key", "_source", shards).groupBy("_shard")
+    full = _packed(renamed, list(private.values()), "_key", "_source", shards)
+    bodies = full.groupBy("_shard")
     anchors = bodies.applyInArrow(_anchors(ranges), "part int, shard long, hashes binary, about binary")
     recurring = anchors.groupBy("part").applyInArrow(_recurring(hot), "shard long, hashes binary, hot binary")
     schema = "shard long, part long, start binary, end binary, docs binary, before binary, more binary, body binary"
-    found = materialise(bodies.cogroup(recurring.groupBy("shard")).applyInArrow(_stretches(merges), schema), "suffix-stretches")
-    elsewhere = found.where("part >= 0").groupBy("part").applyInArrow(_earlier, _SPANS)
-    spans = found.where("part < 0").select("shard", "start", "end").unionByName(elsewhere)
-    full = _packed(renamed, list(private.values()), "_key", "_source", shards)
+    found = bodies.cogroup(recurring.groupBy("shard")).applyInArrow(_stretches(merges), schema)
+    spans = found.groupBy("part").applyInArrow(_earlier, _SPANS)
     wanted = [*private.values(), *(["_source"] if text in columns else []), *RESULT]
     kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept": T.BinaryType(), "_source": T.StringType()}
     out = T.StructType([T.StructField(c, kinds.get(c) or full.schema[c].dataType) for c in wanted])
-    cut = full.groupBy("_shard").cogroup(spans.groupBy("shard")).applyInArrow(_cut(wanted, "_source", wanted), out)
+    cut = bodies.cogroup(spans.groupBy("shard")).applyInArrow(_cut(wanted, "_source", wanted), out)
     return cut.select(*[F.col(private.get(c, "_source")).alias(c) for c in columns], *RESULT)

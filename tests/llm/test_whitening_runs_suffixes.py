@@ -7,11 +7,13 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from spendwright.llm import periodic, suffix_dedup, toxicity, whitening
 from spendwright.llm import words as W
 from spendwright.llm.queries import QUERIES
+from spendwright.sources import session
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +136,37 @@ def test_byte_repeats_equal_brute_force(spark, shard_bytes, hot, monkeypatch):
     assert out[902].text is None and out[0].text == docs[0][1]
 
 
+def test_byte_repeats_shuffle_texts_once_and_write_nothing_between(spark):
+    rows = spark.createDataFrame([(i, f"{i % 7} the same long text, repeated in many of the rows of a table " * 3) for i in range(40)], "doc_id long, text string")
+    before = {k: list(v) for k, v in session._CREATED.items()}
+    out = suffix_dedup.remove_repeats(rows, keep_text=False, shard_bytes=500)
+    out.collect()
+    assert {k: list(v) for k, v in session._CREATED.items()} == before
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ReusedExchange") == 2
+
+
+def test_anchors_are_dealt_evenly_and_lists_keep_their_numbers():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 50_000, dtype=np.uint8).tobytes() for _ in range(4)]
+    press = zstandard.ZstdCompressor()
+    rows = pa.table({"_deal": pa.array(range(4), pa.int64()), "_doc": pa.array(range(4), pa.int64()), "_body": pa.array([press.compress(t) for t in texts], pa.binary())})
+    made = suffix_dedup._anchors(8)((pa.scalar(0),), rows)
+    sizes = [len(suffix_dedup._hashes(b)) for b in made.column("hashes").combine_chunks()]
+    assert made.column("part").to_pylist() == list(range(8)) and max(sizes) < 1.3 * sum(sizes) / 8
+    assert sum(len(b.as_py()) for b in made.column("hashes").combine_chunks()) < 6 * sum(sizes)
+    top = np.array([0, 5, 2**48 - 1], dtype=np.uint64)
+    assert suffix_dedup._hashes(pa.scalar(suffix_dedup._ascending(top))).tolist() == top.tolist()
+    for numbers in (np.array([-1, 2**62], dtype=np.int64), np.zeros(0, dtype=np.int64)):
+        assert suffix_dedup._numbers(pa.scalar(suffix_dedup._squeezed(numbers)), np.int64).tolist() == numbers.tolist()
+
+
+@pytest.mark.parametrize("depth", [8, 50])
+def test_suffix_order_equals_sorted_slices(depth):
+    text = np.frombuffer(b"abracadabra" * 9 + b"abra" + b"a" * 120, dtype=np.uint8)
+    found = [text[i : i + depth].tobytes() for i in suffix_dedup.suffix_order(text, depth)]
+    assert found == sorted(text[i : i + depth].tobytes() for i in range(len(text)))
+
+
 def test_learned_weights_keep_their_bits(spark):
     docs = spark.createDataFrame([(i, "good fine day" if i % 2 else "bad rude word") for i in range(200)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")).unionByName(spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic int"))
