@@ -34,9 +34,11 @@ PER_DIGEST = 16
 # Poisson(1) by 16-bit uniform: a draw from the k-th value on has a weight above k.
 _CDF = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])
 THRESHOLDS = [int(t) for t in np.ceil(_CDF * (1 << 16) - 0.5) if t < 1 << 16]
-_WEIGHTS = np.searchsorted(THRESHOLDS, np.arange(1 << 16), side="right").astype(np.float64)
+_WEIGHTS = np.searchsorted(THRESHOLDS, np.arange(1 << 16), side="right").astype(np.uint8)
 
-_ROWS_AT_ONCE = 1000
+#: Multiplications in one matrix product: few enough for the cache, and for BLAS not to
+#: start threads, which in every worker of an executor at once would only be in each other's way.
+_PRODUCT = 1 << 17
 _GROUP_BYTES = 64 << 20
 
 
@@ -56,7 +58,7 @@ def replicate_weights(keys: Sequence[str], replicates: int, seed: int) -> np.nda
             digest.update(end)
             digests += digest.digest()
     bits = np.frombuffer(digests, dtype=">u2").reshape(len(keys), -1)[:, :replicates]
-    return _WEIGHTS[bits]
+    return _WEIGHTS[bits].astype(np.float64)
 
 
 def replicate_weight(key: Sequence[str], replicate: Column, seed: int) -> Column:
@@ -103,6 +105,7 @@ def bootstrap_sums(
     else:
         slim = slim.repartition(tasks, "_key")
     most = max(1, _GROUP_BYTES // (8 * replicates * len(names)))
+    at_once = max(1, _PRODUCT // (replicates * len(names)))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
@@ -122,8 +125,8 @@ def bootstrap_sums(
             for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
                 group = tuple(None if pd.isna(v) else v for v in batch[by].iloc[rows[0]]) if by else ()
                 total = totals.setdefault(group, np.zeros((replicates, len(names))))
-                for at in range(0, len(rows), _ROWS_AT_ONCE):
-                    part = rows[at : at + _ROWS_AT_ONCE]
+                for at in range(0, len(rows), at_once):
+                    part = rows[at : at + at_once]
                     total += replicate_weights([keys[i] for i in part], replicates, seed).T @ values[part]
                 if len(totals) >= most:
                     yield made()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendwright.functions.hashing import standard_normal
+from spendwright.operators import bootstrap
 from spendwright.operators.bootstrap import bootstrap_sums, digest_sql, percentile_interval, replicate_weight, replicate_weights, weight_sql
 
 
@@ -62,3 +63,23 @@ def test_groups_are_separate_and_may_be_null(normals):
     rows = {r.g: r for r in percentile_interval(sums, F.col("s") / F.col("w"), ["g"]).collect()}
     assert rows[None].ci_lower < 10.1 < 14.9 < rows["odd"].ci_upper
     assert rows[None].ci_upper < rows["odd"].ci_lower
+
+
+def test_matrix_products_are_too_small_for_blas_threads(spark, monkeypatch):
+    plain = bootstrap.replicate_weights
+
+    def checked(keys, replicates, seed):
+        assert len(keys) * replicates * 2 <= 1 << 18  # OpenBLAS splits larger products among threads
+        return plain(keys, replicates, seed)
+
+    monkeypatch.setattr(bootstrap, "replicate_weights", checked)
+    rows = spark.range(4000).repartition(1)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        found = bootstrap_sums(rows, {"one": F.lit(1.0), "v": F.col("id")}, ["id"], replicates=1000).orderBy("replicate").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    weights = plain([str(i) for i in range(4000)], 1000, 42)
+    assert [r.one for r in found] == weights.sum(axis=0).tolist()
+    assert [r.v for r in found] == pytest.approx((weights.T @ np.arange(4000.0)).tolist())
